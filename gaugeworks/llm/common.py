@@ -85,6 +85,25 @@ def struct_array(kind: pa.StructType, **columns) -> pa.Array:
     return pa.StructArray.from_arrays([x if isinstance(x := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in kind], fields=list(kind))
 
 
+class Remembered(dict):
+    """What make(key) gave, for the keys of two generations of `most` at most each; long keys are made anew each time."""
+
+    def __init__(self, make, most: int, longest: int = 48):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
