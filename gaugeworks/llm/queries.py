@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, secrets
+from . import bpe, langid, packing, quality, secretscan
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secretscan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), secrets.digest(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secretscan.digest(F.col("base")), 256).alias("base_sha256"), secretscan.digest(F.col("found")).alias("spans"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
