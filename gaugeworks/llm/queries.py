@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, secretscan
+from . import bpe, common, langid, licenses, packing, quality, secretscan, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "matches")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secretscan.digest(F.col("base")), 256).alias("base_sha256"), secretscan.digest(F.col("found")).alias("spans"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.shared_dir(spark)}/gaugeworks/warc-{uuid.uuid4().hex}"
+    return warc.read(spark, warc.write(read(spark, sf_dir, "pages"), folder)).drop("url")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(quality.sample(docs, read(spark, sf_dir, "labels"), 3000))
@@ -43,11 +54,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
+    "op4_warc": op4_warc,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL of those queries whose rows SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+        r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS again FROM f)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+    """,
+}
