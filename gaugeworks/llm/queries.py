@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, langid, licenses, neardup_vectors, packing, quality, secretscan, warc
+from . import ann, bpe, common, jaccard, langid, licenses, neardup_vectors, packing, quality, secretscan, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.deduplicate(read(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
