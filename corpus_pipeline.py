@@ -1,8 +1,69 @@
-"""The corpus pipeline: language, quality, near copies, secrets, packing."""
+"""The corpus pipeline: language, quality, near copies, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored before the next stage reads it. Stages but the last return
+the columns of docs; columns beside those that a stage works on go through unchanged.
+
+- language: documents without any letter in any language go (`und`); null and empty texts do so too.
+- quality: documents whose score is below QUALITY_LEAST go. The bound lies below 0.5, so that doubtful documents stay.
+- near_copies: of documents whose shingle sets link, directly or through others, the one with the smallest id stays; of
+  rows that share an id, one stays. Rows with a null id link with nothing and stay.
+- secrets: spans found are replaced by a mark; n_chars follows where a text changes.
+- packing: the pieces of all that is left.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import common, jaccard, langid, packing, quality, secretscan
+
+QUALITY_LEAST = 0.2
+LABELLED_ROWS = 3000  # bound on the sample that the quality classifier learns from
+END_ID = 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.where(~langid.held_out()))
+    told = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return told.where(F.col("lang_pred") != "und").select("row.*")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.sample(docs, labels, LABELLED_ROWS))
+    told = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return told.where(F.col("score") >= QUALITY_LEAST).select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = jaccard.join(docs)
+    gone = told.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    return known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unknown)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secretscan.masked(docs)
+    if "n_chars" in docs.columns:
+        found = F.instr("text", "[secret]") > 0
+        clean = clean.withColumn("n_chars", F.when(found, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
+STAGES = [("language", language), ("quality", quality_classifier), ("near_copies", near_copies), ("secrets", secrets), ("packing", pack)]
+
+#: SQL can't express the classifiers; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
