@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_grid, queries_prep, queries_stats
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = queries_stats.QUERIES | queries_grid.QUERIES | queries_prep.QUERIES
+ORACLES = queries_stats.ORACLES | queries_grid.ORACLES | queries_prep.ORACLES
