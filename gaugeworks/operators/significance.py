@@ -74,24 +74,24 @@ def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
     without continuity correction. No differences left: 1.
     """
     size = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranked = average_rank(diffs.where("d <> 0").withColumn("m", F.abs("d")), keys, "m", "r", ascending=True)
-    tied = ranked.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("t"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"))
-    stat = tied.groupBy(*keys).agg(F.sum("t").alias("k"), F.sum("w").alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tt"), F.max("t").alias("most"))
-    out = size.join(stat, keys, "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    k = F.col("k").cast("int")
+    ranked = average_rank(diffs.where("d <> 0").withColumn("__m", F.abs("d")), keys, "__m", "__r", ascending=True)
+    tied = ranked.groupBy(*keys, "__m").agg(F.count(F.lit(1)).alias("__t"), F.sum(F.when(F.col("d") > 0, F.col("__r")).otherwise(0.0)).alias("__w"))
+    stat = tied.groupBy(*keys).agg(F.sum("__t").alias("__k"), F.sum("__w").alias("w_plus"), F.sum(F.col("__t") * F.col("__t") * F.col("__t") - F.col("__t")).alias("__tt"), F.max("__t").alias("__most"))
+    out = size.join(stat, keys, "left").withColumn("__k", F.coalesce("__k", F.lit(0)))
+    k = F.col("__k").cast("int")
     start = F.transform(F.sequence(F.lit(0), (k * (k + 1) / 2).cast("int")), lambda i: F.when(i == 0, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     counts = F.aggregate(F.sequence(F.lit(1), k), start, lambda c, j: F.transform(c, lambda v, i: v + F.when(i >= j, F.get(c, i - j)).otherwise(0)))
-    exact = (F.col("k") == F.col("n")) & (F.col("most") == 1) & (F.col("k") <= 50)
-    out = out.withColumn("c", F.when(exact, counts))
-    tail = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("bigint"), lambda a, v: a + v) / F.pow(F.lit(2.0), F.col("k"))
+    exact = (F.col("__k") == F.col("n")) & (F.col("__most") == 1) & (F.col("__k") <= 50)
+    out = out.withColumn("__c", F.when(exact, counts))
+    tail = lambda test: F.aggregate(F.filter("__c", test), F.lit(0).cast("bigint"), lambda a, v: a + v) / F.pow(F.lit(2.0), F.col("__k"))
     above, below = tail(lambda v, i: i >= F.col("w_plus")), tail(lambda v, i: i <= F.col("w_plus"))
-    mean = F.col("k") * (F.col("k") + 1) / 4.0
-    sd = F.sqrt((F.col("k") * (F.col("k") + 1) * (2 * F.col("k") + 1) - F.col("tt") / 2.0) / 24.0)
+    mean = F.col("__k") * (F.col("__k") + 1) / 4.0
+    sd = F.sqrt((F.col("__k") * (F.col("__k") + 1) * (2 * F.col("__k") + 1) - F.col("__tt") / 2.0) / 24.0)
     z = (F.col("w_plus") - mean) / sd
     one = F.when(z >= 0, normal_tail(F.abs(z))).otherwise(1 - normal_tail(F.abs(z)))
-    p_greater = F.when(F.col("k") == 0, 1.0).when(exact, above).otherwise(one)
-    p_two = F.when(F.col("k") == 0, 1.0).when(exact, F.least(F.lit(1.0), 2 * F.least(above, below))).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))))
-    return out.select(*keys, "n", F.col("k").alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p_two.alias("p_two"), p_greater.alias("p_greater"))
+    p_greater = F.when(F.col("__k") == 0, 1.0).when(exact, above).otherwise(one)
+    p_two = F.when(F.col("__k") == 0, 1.0).when(exact, F.least(F.lit(1.0), 2 * F.least(above, below))).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))))
+    return out.select(*keys, "n", F.col("__k").alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p_two.alias("p_two"), p_greater.alias("p_greater"))
 
 
 def holm(rows: DataFrame, p: str, tie: list[str], out: str = "holm_p", by: list[str] | None = None) -> DataFrame:
