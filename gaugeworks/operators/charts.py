@@ -49,3 +49,47 @@ def reporting(claims: DataFrame) -> DataFrame:
     """(id, missing, flagged): the checklist's items that a claim lacks."""
     items = F.array(*[F.when(~F.coalesce(F.col(k), F.lit(False)), F.lit(k)) for k in CHECKLIST])
     return claims.select("id", F.filter(items, lambda x: x.isNotNull()).alias("missing")).withColumn("flagged", F.size("missing") > 0)
+
+
+def temporal_reorder(random_split: DataFrame, temporal_split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(movers, tau): mean ranks of the systems that both sides' blocks have, each over its own datasets. Blocks are complete before ranks are taken."""
+    a, b = (ranks.complete_block(g) for g in (random_split, temporal_split))
+    both = a.select("model").intersect(b.select("model"))
+    ra, rb = (ranks.mean_ranks(ranks.average_rank(g.join(both, "model", "left_semi"), ["dataset"])) for g in (a, b))
+    moved = ranks.movers(ra, rb)
+    return moved, kendall(moved, [], "rank_a", "rank_b")
+
+
+def rank_band_rows(bands: DataFrame, size: int = 3) -> DataFrame:
+    """Rows of a band chart: (model, median_rank, below, above, in_top_cluster) in order of median rank."""
+    from .resample import top_cluster
+
+    top = top_cluster(bands, size).select("model", F.lit(True).alias("top"))
+    return bands.join(top, "model", "left").select("model", "median_rank", (F.col("median_rank") - F.col("lo")).alias("below"), (F.col("hi") - F.col("median_rank")).alias("above"), F.coalesce("top", F.lit(False)).alias("in_top_cluster"))
+
+
+def slope_rows(moved: DataFrame, least: float = 1.0) -> DataFrame:
+    """Rows of a slope chart: both ranks, and whether they differ by `least` or more."""
+    return moved.select("model", "rank_a", "rank_b", (F.round(F.abs("shift"), 9) >= least).alias("moved"))
+
+
+def mean_calibration(records: DataFrame, block: DataFrame) -> DataFrame:
+    """(model, ece): over records, not datasets, of the block's systems."""
+    return records.join(block.select("model").distinct(), "model", "left_semi").groupBy("model").agg(F.avg("ece").alias("ece"))
+
+
+def display(rows: DataFrame, names: dict[str, str], column: str = "model") -> DataFrame:
+    """rows with shown names where there are any."""
+    if not names:
+        return rows
+    shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return rows.withColumn(column, F.coalesce(F.try_element_at(shown, F.col(column)), F.col(column)))
+
+
+def summary(**parts: DataFrame) -> DataFrame:
+    """One row out of one-row tables, columns named part_column."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+        out = one if out is None else out.crossJoin(one)
+    return out

@@ -374,3 +374,41 @@ def pareto_front_rate(spark, sf_dir):
     p = points(spark, sf_dir)
     n = p.agg(F.count_distinct("dataset").alias("n"))
     return r9(pareto.front(p, ["dataset"]).groupBy("model").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n)).select("model", (F.col("c") / F.col("n")).alias("on_front_rate")))
+
+
+# ---- report rows
+
+# two sides of the grid stand for two split policies: even and odd datasets by name's digit, on two metrics
+_SIDES = "ga AS (SELECT * FROM gr WHERE dataset LIKE '%1' OR dataset LIKE '%3'), hb AS (SELECT * FROM hr WHERE dataset LIKE '%2' OR dataset LIKE '%4'), t AS (SELECT model, p, q FROM (SELECT model, avg(rk) AS p FROM ga GROUP BY model) JOIN (SELECT model, avg(rk) AS q FROM hb GROUP BY model) USING (model))"
+
+
+def _sides(spark, sf_dir):
+    a, b = grid(spark, sf_dir), grid(spark, sf_dir, "log_loss")
+    return a.where("dataset like '%1' or dataset like '%3'"), b.where("dataset like '%2' or dataset like '%4'")
+
+
+@query(f"WITH {GRID_SQL}, {_SIDES}, k AS ({_TAU} FROM t x JOIN t y ON x.model < y.model) SELECT (SELECT count(*) FROM t) AS n_items, round(tau, 9) AS tau FROM k")
+def temporal_reorder(spark, sf_dir):
+    return r9(charts.temporal_reorder(*_sides(spark, sf_dir))[1].select("n_items", "tau"))
+
+
+@query(f"WITH {GRID_SQL}, {_SIDES} SELECT model, round(p, 9) AS rank_a, round(q, 9) AS rank_b, round(abs(q - p), 9) >= 1 AS moved FROM t")
+def slope_chart(spark, sf_dir):
+    return r9(charts.slope_rows(charts.temporal_reorder(*_sides(spark, sf_dir))[0]))
+
+
+@query(f"WITH {CELLS_SQL} SELECT CASE model WHEN 'm1' THEN 'First' ELSE model END AS model, round(avg(ece), 9) AS ece FROM cells GROUP BY ALL")
+def calibration_chart(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return r9(charts.display(charts.mean_calibration(c, c), {"m1": "First"}))
+
+
+@query(f"""WITH {GRID_SQL}, {_FLIP}, m AS (SELECT a, b, avg(da) AS x, avg(db) AS y FROM fp GROUP BY a, b HAVING count(*) >= 3) SELECT count(*) AS n_pairs, count_if(sign(x) <> sign(y) AND x <> 0 AND y <> 0) AS n_sign_flips FROM m""")
+def flip_counts(spark, sf_dir):
+    return charts.flip_summary(charts.axis_flips(grid(spark, sf_dir), grid(spark, sf_dir, "log_loss"))).select("n_pairs", "n_sign_flips")
+
+
+@query(_FRIEDMAN + f" SELECT k.k AS block_k, k.n AS block_n, round(c.cd, 9) AS cd_critical_difference FROM k CROSS JOIN ({_CD}) c")
+def summary_row(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return r9(charts.summary(block=g.agg(F.count_distinct("model").alias("k"), F.count_distinct("dataset").alias("n")), cd=significance.critical_difference(g).select("critical_difference")))
