@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -97,11 +98,14 @@ class Remembered(dict):
             value = self.make(key)
             if len(key) > self.longest:
                 return value
+        self.add(key, value)
+        return value
+
+    def add(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -111,18 +115,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> tuple[DataFrame, list[str]]:
+#: Edges that one task may hold: 16 MB.
+SMALL_GRAPH = 1_000_000
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """Components in one task, by union-find: for graphs whose size has been checked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        found = [(x, find(x)) for x in parent]
+        found = [x for x in found if x[0] != x[1]]
+        for at in range(0, len(found), 100_000):
+            u, v = zip(*found[at : at + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["node", "root"])
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, small: int = SMALL_GRAPH) -> tuple[DataFrame, list[str]]:
     """Connected components of the undirected edges (a, b): (node, root), root the smallest node reachable.
 
     Alternates two contractions until nothing changes: every node's larger neighbours, then
     its smaller ones and itself, are linked to the smallest one seen (Kiveris et al., 2014). Each
     round shuffles the edges by node with map-side minima; no neighbourhood is collected, so a node
     with very many neighbours costs rows, not memory. Every round is a table in the shared folder; the paths
-    returned are still in use by the result. Edges with a null end, and a = b, add nothing.
+    returned are still in use by the result. Edges with a null end, and a = b, add nothing. Nodes are whole numbers. A graph of `small` edges at most
+    is done in one task instead, which takes fewer jobs; the result is the same.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now, path = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if now.limit(small + 1).count() <= small:
+        done, new = stored(_forest(now), "roots")
+        drop_stored(spark, path)
+        return done, [new]
     last = None
     for _ in range(max_rounds):
         # large-star: larger neighbours of u go to min(neighbours, u)

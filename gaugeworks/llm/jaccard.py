@@ -142,7 +142,7 @@ def frequencies(docs: DataFrame, frequent: int, most_bits: int) -> Frequencies:
     maps = packed.repartition(1 << part_bits, "part").sortWithinPartitions("part").mapInArrow(total, "part int, again binary, many binary")
     out = np.zeros((2, 1 << (bits - 3)), np.uint8)
     width = 1 << (bits - part_bits - 3)
-    for r in maps.toLocalIterator():  # 2 * 2**bits bits in all
+    for r in maps.collect():  # 2 * 2**bits bits in all, 64 MB at most
         out[0, r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["again"], np.uint8)
         out[1, r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["many"], np.uint8)
     return Frequencies(bits, out[0], out[1])
@@ -262,15 +262,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, together: int = 256) -> DataFra
 
 
 def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): enough links for the components of all, and these. lists: (sig, node, n), two nodes or more in each."""
+    """(links, roots): enough links for the components of all, and these. lists: (sig, node, n, a, an), two nodes or more in each, a the smallest."""
     spark = sets.sparkSession
     fits = (F.col("an") * 4 <= F.col("bn") * 5) & (F.col("bn") * 4 <= F.col("an") * 5)
     links = roots = done = None
     left, left_path = lists, None
     for step in range(rounds + 1):
-        if step == 0:
-            now = left.withColumn("root", F.col("node"))
-        else:
+        if step:
             now = left.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
             mixed = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
             now = now.join(mixed, "sig", "left_semi")
@@ -286,15 +284,19 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
             if step == rounds or some <= 4 * sets_left:
                 a, b = (now.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r")) for x in "ab")
                 pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits).select("a", "b").distinct()
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
+                pairs, _ = common.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
                 found, _ = common.stored(_verified(pairs, sets), "found")
                 if found.limit(1).count():
                     links = links.unionByName(found)
                     roots, _ = common.components(links)
                 break
         # each list's sets against its smallest one, which is then through with this list
-        pivot = now.groupBy("sig").agg(F.min(F.struct("node", "n", "root")).alias("p")).select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("ar"))
-        star = now.join(pivot, "sig").select("a", "an", "ar", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
+        if step == 0:
+            star = left.select("a", "an", F.col("a").alias("ar"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("node").alias("br"))
+        else:
+            pivot = now.groupBy("sig").agg(F.min(F.struct("node", "n", "root")).alias("p")).select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("ar"))
+            now = now.join(pivot, "sig")
+            star = now.select("a", "an", "ar", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
         pairs = star.where((F.col("a") != F.col("b")) & (F.col("ar") != F.col("br")) & fits).select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -303,12 +305,12 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots, _ = common.components(links)
-        left = now.join(pivot.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti").select("sig", "node", "n")
+        left = (left if step == 0 else now).where("node <> a").select("sig", "node", "n")
         common.free(spark)
     return links, roots
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 4) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
     common.batches(spark)
@@ -323,7 +325,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int
     common.drop_stored(spark, every_path)
     common.free(spark)
     index, index_path = common.stored(_index(sets, freq), "index")
-    lists, _ = common.stored(index.join(index.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "sig", "left_semi"), "lists")
+    first = index.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min_by("n", "node").alias("an")).where("a < z").select("sig", "a", "an")
+    lists, _ = common.stored(index.join(first, "sig"), "lists")
     common.drop_stored(spark, index_path)
     common.free(spark)
     _, roots = _links(sets, lists, rounds)
