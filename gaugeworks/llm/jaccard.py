@@ -12,7 +12,9 @@ A text's set is its distinct shingles of five words; texts link when their sets'
    shingle, or two shingles of a frequent class. Rare shingles are signatures alone; of frequent ones, pairs within a class
    are. Frequent classes are dealt by hash, about 4 to 8 shingles of a set in each, by the power of two that fits the set's size; a set is indexed
    for each power that a partner may have.
-4. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; only pairs whose components still
+4. Sketches. Each set keeps the parity of its shingles in 1024 hashed bits. What two sets share cancels out, so bits that differ are never more than
+   shingles that differ; a pair with more of them than a ninth of both sizes can't link and isn't formed.
+5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; only pairs whose components still
    differ are compared after that, until no such pair is left. Groups of near copies are so linked by about as many comparisons as they
    have members. All comparisons are exact, by whole sets.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -195,12 +197,27 @@ def signatures(h: np.ndarray, freq: Frequencies) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+SKETCH = 16
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """Parities of the shingles in 64 * SKETCH bits."""
+    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sketches as and bs allow a link of sets of an and bn shingles: 0.8 or more means (an + bn) / 9 that differ at most."""
+    differ = sum((F.bit_count(F.get(f"{a}s", F.lit(k)).bitwiseXOR(F.get(f"{b}s", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    return 9 * differ <= F.col(f"{a}n") + F.col(f"{b}n")
+
+
 def _sets(docs: DataFrame, freq) -> DataFrame:
-    """(id, n, k1, k2, tokens) of every row; tokens (hashes, 8 bytes each) only where a partner or a copy is possible."""
+    """(id, n, k1, k2, tokens, sketch) of every row; tokens (hashes, 8 bytes each) and sketch only where a partner or a copy is possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, tokens = [], [], [], []
+            n, k1, k2, tokens, sketches = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t)
                 raw = h.tobytes()
@@ -209,10 +226,12 @@ def _sets(docs: DataFrame, freq) -> DataFrame:
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
                 k2.append(int.from_bytes(key[8:], "little", signed=True))
                 again, _ = freq.value.of(h)
-                tokens.append(raw if len(h) and int((~again).sum()) <= lacks(len(h)) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "n", "k1", "k2", "tokens"])
+                some = len(h) and int((~again).sum()) <= lacks(len(h))
+                tokens.append(raw if some else None)
+                sketches.append(sketch(h) if some else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "tokens", "sketch"])
 
-    return docs.select("id", "t").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens binary")
+    return docs.select("id", "t").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens binary, sketch array<long>")
 
 
 def _index(sets: DataFrame, freq) -> DataFrame:
@@ -282,8 +301,9 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
             if not some:
                 break
             if step == rounds or some <= 4 * sets_left:
-                a, b = (now.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r")) for x in "ab")
-                pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits).select("a", "b").distinct()
+                drawn = now.join(sets.select("node", "sketch"), "node")
+                a, b = (drawn.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r"), F.col("sketch").alias(f"{x}s")) for x in "ab")
+                pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits & may_link("a", "b")).select("a", "b").distinct()
                 pairs, _ = common.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
                 found, _ = common.stored(_verified(pairs, sets), "found")
                 if found.limit(1).count():
@@ -320,8 +340,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int
     every, every_path = common.stored(_sets(own, freq), "sets")
     names, _ = common.stored(every.select("id", "n", "k1", "k2"), "names")
     # one row for each set that may have a partner, under its smallest id
-    some = every.where("tokens is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets, _ = common.stored(some.select("node", "n", "tokens"), "distinct")
+    some = every.where("tokens is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    sets, _ = common.stored(some.select("node", "n", "tokens", "sketch"), "distinct")
     common.drop_stored(spark, every_path)
     common.free(spark)
     index, index_path = common.stored(_index(sets, freq), "index")

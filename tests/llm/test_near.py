@@ -147,3 +147,11 @@ def test_nearest(spark):
         total += len(best)
     assert hit / total >= 0.9
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 1 << 12, int(rng.integers(1, 900)), dtype=np.uint64)) for _ in range(2))
+        bits = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(jaccard.sketch(x), jaccard.sketch(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
