@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, jaccard, langid, licenses, neardup_vectors, packing, quality, secretscan, warc
+from . import ann, bpe, common, jaccard, langid, licenses, neardup_vectors, oracles, packing, quality, secretscan, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,7 @@ QUERIES = {
 
 #: DuckDB SQL of those queries whose rows SQL can express.
 ORACLES: dict[str, str] = {
+    "op3_secret_scan": oracles.SECRETS,
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
