@@ -38,7 +38,7 @@ class Chunks:
     The file's pre-tokenizer never joins what white space divides, so that pieces can be encoded apart.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -48,17 +48,35 @@ class Chunks:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known = common.Remembered(self.ids, cached)
         self.known[""] = b""
+        # tokens that end a word
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(self.tokenizer.get_vocab_size())])
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, piece: str) -> bytes:
-        if piece[-1:] in (",", ".") and piece[-2:-1].isalpha():  # two pre-tokens
+        if piece[-1:] in (",", ".") and piece[-2:-1].lower().isalpha():  # two pre-tokens
             return self.known[piece[:-1]] + self.known[piece[-1]]
         return self.raw([piece])[0]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" "))), "<u4")
+    def learn(self, words: list[str], together: int = 500) -> None:
+        """Remembers words of letters alone, many in one call: each is one pre-token, whose last token is the only one that ends a word."""
+        for at in range(0, len(words), together):
+            own = words[at : at + together]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(own):  # else some letters become others that divide a word: one by one, when they are asked for
+                raw, start = ids.tobytes(), 0
+                for w, e in zip(own, (4 * end).tolist(), strict=True):
+                    self.known.add(w, raw[start:e])
+                    start = e
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = {x[:-1] if x[-1:] in (",", ".") and x[-2:-1].lower().isalpha() else x for p in pieces for x in set(p) if x not in self.known}
+        self.learn(sorted(x for x in new if len(x) <= self.known.longest and x.isalpha() and x not in self.known and x not in self.known.old))
+        for p in pieces:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4")
 
 
 @cache
@@ -121,8 +139,8 @@ def pack(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array([group] * len(rows), pa.int64())], names=[*NAMES, "leftover"])
 
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(own.encode(t), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     own_ids = ids[start : start + window]
                     piece = (doc, start, len(own_ids), zlib.crc32(own_ids.tobytes()), len(ids))
