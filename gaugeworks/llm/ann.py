@@ -3,7 +3,8 @@
 Inner products become distances: a vector gets one more component that lifts it to the length of its block's longest, and a query,
 scaled to that length, a zero; then a larger inner product is a smaller distance. A block keeps `projections` sorted arrays,
 one for each random direction. A query puts a window around its own projection in every array; vectors inside
-collide once for each. Virtual rehashing widens all windows by one factor after another, only what is newly covered is counted, and vectors whose collisions
+collide once for each: they are counted over the rows' places in the sorted arrays, for all arrays at once. Virtual rehashing widens all windows by one factor after
+another, from a width a little below what the block's query before needed, and vectors whose collisions
 reach `share` of the arrays are verified by their inner product in double precision. A block is done when `verified` of its rows, and `least`
 rows at least, have been verified. That target is a share, never a cap: vectors that reach the threshold in the same step are all verified.
 
@@ -36,29 +37,28 @@ class Block:
         lifted = np.concatenate([x, np.sqrt(np.maximum(0, self.longest**2 - length**2))[:, None]], 1) / self.longest
         self.directions = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1] + 1, projections))
         p = (lifted @ self.directions).T
-        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(p, self.order, 1)
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, 1)
+        self.place = np.empty(p.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=self.place.dtype)[None, :], 1)
+        self.width = 0.5
 
-    def candidates(self, q: np.ndarray, share: float, verified: int, start: float = 0.5, factor: float = 1.12) -> np.ndarray:
+    def candidates(self, q: np.ndarray, share: float, verified: int, factor: float = 1.05) -> np.ndarray:
         """Rows whose collisions reach the threshold at the first width at which `verified` rows do."""
-        m, n = self.order.shape
+        m, n = self.place.shape
         if n <= verified:
             return np.arange(n)
         centre = (np.append(q, 0.0) / np.sqrt(q @ q)) @ self.directions
-        count = np.zeros(n, np.int32)
         need = int(np.ceil(share * m))
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        high, width = low.copy(), start
+        width = self.width * 0.92
         while True:
-            for k in range(m):
-                s = self.sorted[k]
-                a, b = s.searchsorted(centre[k] - width), s.searchsorted(centre[k] + width, "right")
-                a, b = min(a, low[k]), max(b, high[k])
-                count[self.order[k, a : low[k]]] += 1
-                count[self.order[k, high[k] : b]] += 1
-                low[k], high[k] = a, b
-            found = np.flatnonzero(count >= need)
+            low = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre - width, strict=True)])
+            high = np.array([s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + width, strict=True)])
+            # places from low to high, by one comparison of unsigned differences
+            inside = (self.place - low.astype(self.place.dtype)[:, None]) < (high - low).astype(self.place.dtype)[:, None]
+            found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint32) >= need)
             if len(found) >= verified or (high - low).min() == n:
+                self.width = width
                 return found
             width *= factor
 
@@ -66,7 +66,7 @@ class Block:
         """Ids and products of the k best, best first; the query's own id is left out."""
         at = self.candidates(q, share, verified)
         at = at[self.ids[at] != query]
-        score = np.array([np.dot(v, q) for v in self.x[at]]) if len(at) < 64 else self.x[at] @ q
+        score = self.x[at] @ q
         if len(at) > 4 * k:  # those that can't be among the best go, all ties stay
             keep = score >= np.partition(score, -k)[-k] - 1e-9 * self.longest * np.sqrt(q @ q)
             at, score = at[keep], score[keep]
@@ -75,7 +75,7 @@ class Block:
         return self.ids[at][first], score[first]
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 128, share: float = 0.75, verified: float = 0.25, least: int = 1024, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 128, share: float = 0.75, verified: float = 0.2, least: int = 1024, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row for which is_query (over id) holds."""
     common.batches(rows.sparkSession)
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -100,7 +100,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", v
             order = np.argsort(ids[~query])
             block = Block(ids[~query][order], v[~query][order], projections, seed)
             target = max(least, int(np.ceil(verified * len(order))))
-            for q, x in zip(ids[query], v[query], strict=True):
+            at = np.argsort(ids[query])
+            for q, x in zip(ids[query][at], v[query][at], strict=True):
                 got, score = block.best(q, x, k, share, target)
                 out[0].append(np.full(len(got), q))
                 out[1].append(got)
