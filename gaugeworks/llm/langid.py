@@ -83,19 +83,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
     got.sort(key=lambda r: (r["l"], r["d"], str(r["i"])))
     by: dict[str, list[np.ndarray]] = {}
     for r in got:
-        x = np.unpackbits(np.frombuffer(r["b"], np.uint8)).astype(np.float32)
+        x = np.frombuffer(r["b"], np.uint8)
         if x.any() and len(by.setdefault(r["l"], [])) < per_lang:
             by[r["l"]].append(x)
     langs = sorted(k for k, v in by.items() if v)
     if not langs:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
     each = max(4, landmarks // len(langs))
-    unit = lambda m: m / np.sqrt(m.sum(1, keepdims=True))
-    marks = unit(np.array([x for k in langs for x in by[k][:each]]))
+
+    def unit(packed: list[np.ndarray]) -> np.ndarray:
+        m = np.unpackbits(np.array(packed), axis=1).astype(np.float32)
+        m /= np.sqrt(m.sum(1, keepdims=True))
+        return m
+
+    marks = unit([x for k in langs for x in by[k][:each]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.concatenate([unit(np.array(by[k])) @ marks.T @ root for k in langs])
+    phi = np.concatenate([unit(by[k][at : at + 64]) @ marks.T @ root for k in langs for at in range(0, len(by[k]), 64)])
     truth = np.repeat(np.arange(len(langs)), [len(by[k]) for k in langs])
     size = np.bincount(truth)
     weight = (len(truth) / (len(langs) * size))[truth][:, None]  # languages count alike, however many rows each has
