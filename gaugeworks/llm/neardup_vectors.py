@@ -1,13 +1,13 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by products of whole blocks.
 
-Equal vectors are one class first, so that any number of copies is one row. In each of several passes a class gets 64 bits, the signs of
-its products with random directions of that pass, and rows are ordered by label and these bits, read as one word after another; near
-vectors share long prefixes and so stand close. Each row is compared with its neighbours: those of its own block of
-`window` rows and of the block before, by one matrix product. Pairs at the threshold or above, in double precision, are links; the passes'
-links are united, and components are found from them. The order is a range partitioning over all passes and labels
-at once: a hot label is spread like any other range. A task holds two blocks.
+Equal vectors are one class first, so that any number of copies is one row. The classes of one label and length are dealt by a hash
+into blocks, and each block meets each block of its group and itself in one cell; so every pair is compared once, however large a group of near
+vectors is. A cell is a matrix product in tiles. Pairs at the threshold or above are links; those
+close to it are decided in double precision. No pair becomes a row: a cell gives the count of links of each of its classes, and the links that
+join its classes to components for the first time.
 
-Found links have the threshold or more by the exact check; a close pair may be missed if it stands apart in every pass.
+Work grows with the square of a label's classes, whatever they hold. A class is sent to as many cells as its group has blocks: blocks have
+`window` rows at least, and grow with the group so that there are about MOST of them, up to BLOCK_BYTES.
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, and rows with a null label or id link with nothing:
 n_links 0, component their own id. Vectors of different lengths never link. Repeated rows (same id, label and
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Rows of a tile; doubt about products in single precision; blocks that a group has, while they stay below the bytes.
+TILE, DOUBT, MOST, BLOCK_BYTES = 1024, 1e-4, 32, 1 << 26
+
 
 def valid(v: Column) -> Column:
     """Whether a vector has a direction: no null or non-finite component, and one that isn't zero."""
@@ -38,72 +41,109 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def directions(seed: int, passes: int, size: int) -> np.ndarray:
-    return np.random.default_rng([seed, size]).standard_normal((size, passes * 64)).astype(np.float32)
-
-
-def links(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes (rep, label, v)."""
+def product(x: np.ndarray, ids: np.ndarray, n: np.ndarray, y: np.ndarray, theirs: np.ndarray, m: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of two blocks of unit vectors, with their ids and members: the linked members of each row on either side, and a forest of links.
+
+    same: y is x; each pair counts once then, for both of its rows.
+    """
+    more, others = np.zeros(len(x)), np.zeros(len(y))
+    parent: list[int] = list(range(len(x) if same else len(x) + len(y)))
+    shift, forest = 0 if same else len(x), []
+
+    def find(k: int) -> int:
+        while (p := parent[k]) != k:
+            parent[k] = k = parent[p]
+        return k
+
+    low, wide = x.astype(np.float32), y.astype(np.float32)
+    for at in range(0, len(x), TILE):
+        for to in range(at if same else 0, len(y), TILE):
+            f = low[at : at + TILE] @ wide[to : to + TILE].T
+            near = f >= threshold - DOUBT
+            if same and at == to:
+                near = np.triu(near, 1)
+            if not near.any():
+                continue
+            near &= ids[at : at + TILE, None] != theirs[to : to + TILE]  # an id with several vectors
+            i, j = np.nonzero(near & (f < threshold + DOUBT))
+            for k in range(0, len(i), 1 << 16):
+                u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                near[u, v] = np.einsum("ij,ij->i", x[at + u], y[to + v]) >= threshold
+            whole = near.astype(np.float64)
+            more[at : at + TILE] += whole @ m[to : to + TILE]
+            (more if same else others)[to : to + TILE] += n[at : at + TILE] @ whole
+            while True:  # one link a row out of its component, until none is left
+                a, b = (np.array([find(k) for k in range(low_k, low_k + size)]) for low_k, size in ((at, near.shape[0]), (shift + to, near.shape[1])))
+                out = near & (a[:, None] != b)
+                first = out.argmax(1)
+                rows = np.flatnonzero(out[np.arange(len(first)), first])
+                if not len(rows):
+                    break
+                for u, v in zip((at + rows).tolist(), (to + first[rows]).tolist(), strict=True):
+                    p, q = find(u), find(shift + v)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        forest.append((int(ids[u]), int(theirs[v])))
+    return more, others, forest
+
+
+def links(classes: DataFrame, threshold: float, window: int, seed: int) -> DataFrame:
+    """Of classes (rep, label, v, n), n their members: rows (a, b, null), links that join all that is linked, and rows (a, null, more), parts of
+    the count of members that rep a links with."""
     common.batches(classes.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = np.array([len(x) for x in b.column(2)])
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                rows = b.take(pa.array(at))
+                rows = b.take(pa.array(np.flatnonzero(sizes == size)))
                 x = matrix(rows.column(2))
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
-                sign = (x.astype(np.float32) @ directions(seed, passes, size) >= 0).reshape(len(x), passes, 64)
-                word = np.packbits(sign, axis=2).view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p), pa.int32()), rows.column(1), pa.array(np.full(len(x), size), pa.int32()), pa.array(word[:, p].astype(np.int64)), rows.column(0), raw], names=["pass", "label", "size", "word", "rep", "u"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(x), size), pa.int32()), rows.column(3), raw], names=["rep", "label", "size", "n", "u"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, rows = None, [], []
-        before: tuple[np.ndarray, np.ndarray] | None = None
-
-        def block() -> pa.RecordBatch:
-            """Compares what is held with itself and the block before it."""
-            nonlocal before, ids, rows
-            x, own = np.frombuffer(b"".join(rows)).reshape(len(rows), -1), np.array(ids)
-            found = [(own[:0], own[:0])]
-            for other, theirs in ([before] if before else []) + [(x, own)]:
-                i, j = np.nonzero(x.astype(np.float32) @ other.astype(np.float32).T >= threshold - 1e-4)
-                if other is x:
-                    i, j = i[i < j], j[i < j]
-                for k in range(0, len(i), 1 << 16):
-                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    good = np.einsum("ij,ij->i", x[a], other[b]) >= threshold
-                    found.append((own[a[good]], theirs[b[good]]))
-            before, ids, rows = (x, own), [], []
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        cell, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """What the cell that is held gives."""
+            same = cell[2] == cell[3]
+            one, two = ((np.frombuffer(b"".join(r[2] for r in side)).reshape(len(side), -1) if side else np.zeros((0, cell[1])), np.array([r[0] for r in side], np.int64), np.array([r[1] for r in side], np.float64)) for side in (sides[0], sides[0] if same else sides[1]))
+            more, others, forest = product(*one, *two, same, threshold)
+            a, n = [one[1][more > 0]], [more[more > 0]]
+            if not same:
+                a, n = [*a, two[1][others > 0]], [*n, others[others > 0]]
+            a, n = np.concatenate(a), np.concatenate(n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(n)], names=["a", "b", "more"])
+            u, v = np.array(forest, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["a", "b", "more"])
+
+        for batch in batches:
+            for label, size, p, q, side, rep, n, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, size, p, q) != cell:
+                    if cell:
+                        yield from done()
+                    cell, sides = (label, size, p, q), ([], [])
+                sides[side].append((rep, n, u))
+        if cell:
+            yield from done()
 
-        for b in batches:
-            for p, label, size, rep, u in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if (p, label, size) != group or len(ids) == window:
-                    if ids:
-                        yield block()
-                    if (p, label, size) != group:
-                        group, before = (p, label, size), None
-                ids.append(rep)
-                rows.append(u)
-        if ids:
-            yield block()
-
-    # keys in a first table: range partitioning reads its input twice
     spark = classes.sparkSession
-    keyed = classes.select("rep", "label", "v").mapInArrow(keys, "pass int, label string, size int, word long, rep long, u binary")
+    # a table: read for the counts and for the rows
+    keyed, _ = common.stored(classes.select("rep", "label", "v", "n").mapInArrow(keys, "rep long, label string, size int, n long, u binary"), "vectors")
+    block = F.greatest(F.lit(window), F.least(F.ceil(F.col("all") / MOST), F.floor(BLOCK_BYTES / (8 * F.col("size")))))
+    large = keyed.groupBy("label", "size").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > window).select("label", "size", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    dealt = keyed.join(F.broadcast(large), ["label", "size"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("label", "size", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "u")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "pass", "label", "size", "word", "rep").sortWithinPartitions("pass", "label", "size", "word", "rep")
-    return ordered.select("pass", "label", "size", "rep", "u").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return cells.repartition(parts, "label", "size", "p", "q").sortWithinPartitions("label", "size", "p", "q").mapInArrow(compare, "a long, b long, more long")
 
 
-def deduplicate(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int = 16, window: int = 1024, seed: int = 11) -> DataFrame:
-    """(id, n_links, component_id, kept) for each vector; window: rows of a block."""
+def deduplicate(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, window: int = 1024, seed: int = 11) -> DataFrame:
+    """(id, n_links, component_id, kept) for each vector; window: least rows of a block of a group that has more."""
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     own = own.withColumn("takes_part", valid(F.col("v")) & F.col("id").isNotNull() & F.col("label").isNotNull())
     # two 64-bit hashes name a class
@@ -111,10 +151,10 @@ def deduplicate(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     members = own.where("takes_part").select("id", "k1", "k2").distinct()
     classes = own.where("takes_part").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"))
     sizes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    found, _ = common.stored(links(classes, threshold, passes, window, seed), "links")
-    roots, _ = common.components(found)
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(sizes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
+    classes = classes.drop("rep").join(sizes, ["k1", "k2"])
+    found, _ = common.stored(links(classes, threshold, window, seed), "links")
+    roots, _ = common.components(found.where("b is not null"))
+    degree = found.where("more is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("more").alias("more"))
     of_class = sizes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     linked = members.join(of_class, ["k1", "k2"]).select("id", "n_links", "component_id")

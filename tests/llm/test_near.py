@@ -128,6 +128,28 @@ def test_vector_dedup(spark):
     assert neardup_vectors.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_vector_dedup_large_group(spark, parts):
+    """Each link counts in a group of many more near vectors than a block has, and the last rows of a label link as the first do."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((2, 16))
+    x = np.concatenate([base[:1] + 0.27 * rng.standard_normal((1500, 16)), base[1:] + 0.1 * rng.standard_normal((300, 16))])
+    x = x.astype(np.float32).astype(np.float64)
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = closed(range(len(x)), np.argwhere(np.triu(near)).tolist())
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = neardup_vectors.deduplicate(df, window=64).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert near.sum() > 600_000
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (int(near[k].sum()), root[k]) for k in range(len(x))}
+
+
 def test_nearest(spark):
     rows = vectors(2)
     rows.append(rows[3])
