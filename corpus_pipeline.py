@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored before the next stage reads it. Stages but the last return
 the columns of docs; columns beside those that a stage works on go through unchanged.
 
-- language: documents without any letter in any language go (`und`); null and empty texts do so too.
+- language: documents without a letter go (`und`), null and empty texts among them; so do those whose margin is below the model's
+  `least`: every function says that the text is of none of the languages learned.
 - quality: documents whose score is below QUALITY_LEAST go. The bound lies below 0.5, so that doubtful documents stay.
 - near_copies: of documents whose shingle sets link, directly or through others, the one with the smallest id stays; of
   rows that share an id, one stays. Rows with a null id link with nothing and stay.
@@ -27,7 +28,7 @@ END_ID = 2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
     told = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return told.where(F.col("lang_pred") != "und").select("row.*")
+    return told.where((F.col("lang_pred") != "und") & (F.col("margin") >= model.least)).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,15 +27,19 @@ from pyspark.sql import functions as F
 from . import common, grams
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
+#: The margin that rejects a text is 0, or lower if more than this share of the rows learned from were below.
+REJECTED = 0.005
 KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
 
 @dataclass
 class LanguageModel:
-    """languages, sorted; weights: 2**BITS x languages, what each present n-gram adds before division."""
+    """languages, sorted; weights: 2**BITS x languages, what each present n-gram adds before division; least: texts with a
+    margin below it are of no language learned."""
 
     languages: list[str]
     weights: np.ndarray
+    least: float = 0.0
 
 
 @cache
@@ -106,7 +110,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
     weight = (len(truth) / (len(langs) * size))[truth][:, None]  # languages count alike, however many rows each has
     target = np.where(truth[:, None] == np.arange(len(langs)), 1.0, -1.0)
     solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(truth) * np.eye(phi.shape[1]) / phi.shape[1], phi.T @ (weight * target))
-    return LanguageModel(langs, (marks.T @ (root @ solved)).astype(np.float32))
+    least = min(0.0, float(np.quantile((phi @ solved).max(1), REJECTED)))
+    return LanguageModel(langs, (marks.T @ (root @ solved)).astype(np.float32), least)
 
 
 def predict(texts: list[str | None], model: LanguageModel, block: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:

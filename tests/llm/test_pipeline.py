@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -42,5 +44,21 @@ def test_stages(spark):
     packed(stages["packing"](spark, four, SMALL).collect(), [r["text"] for r in four.collect()])
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rng = random.Random(3)
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。",
+        *(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(60)) for _ in range(20)),
+    ]
+    # null labels: nothing is learned from these
+    more = spark.createDataFrame([(10**6 + k, x, None, "s", len(x)) for k, x in enumerate(other)], docs.schema)
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more), d).select("doc_id").collect()}
+    assert not any(i >= 10**6 for i in left)
+    assert len(left) >= 0.99 * docs.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 50
