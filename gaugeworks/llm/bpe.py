@@ -7,7 +7,7 @@ that starts there is tried, and if none is left, the token before is given up an
 is marked once at most, so the time is linear in the length. A sequence all of whose neighbours are compatible
 is the one that merging by rank gives, whatever tokens are at hand.
 
-Texts are cut before single spaces, where no pre-token of the pattern crosses, and pieces seen before
+Texts are cut before spaces that have no white space beside, where no pre-token of the pattern crosses, and pieces seen before
 come from a bounded cache. Defined results: null and empty texts have no ids; nothing is special, so that strings that look like special tokens are
 ordinary text. Whole texts are encoded, segment by segment. Lone surrogates can't come from Spark strings. Every row gets its result, repeated
 or not. Other columns are kept; one that has the name of an output is replaced.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEGMENT = 1 << 20
+#: White space beside a space: they can be one pre-token. Spaces without any: a pre-token starts there.
+BESIDE, SINGLE = re.compile(r" \s|\s "), re.compile(r" (?<!\s )(?!\s)")
 KIND = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -153,11 +156,8 @@ class Encoder:
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Ids of the whole text in order, packed, segment by segment."""
         for part in self.segments(text or ""):
-            if "  " in part or part.endswith(" "):
-                yield self.piece(part)
-            else:
-                first, *rest = part.split(" ")
-                yield self.piece(first) + b"".join(map(self.spaced.__getitem__, rest))
+            first, *rest = SINGLE.split(part) if BESIDE.search(part) else part.split(" ")
+            yield self.piece(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

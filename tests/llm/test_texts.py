@@ -238,6 +238,17 @@ def test_bpe_equals_tiktoken(spark):
     assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for _, t in rows)
 
 
+def test_bpe_white_space_beside_spaces():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = bpe.encoder(path, public_tokenizers.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    rng = random.Random(2)
+    alphabet = list("ab1. ") + ["\u00a0", "\t", "\n", "\r\n", "\x0b", "\x85", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\u200b", " \u00a0"]
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \u00a0", "a \t b", "a\t b", "a \r\n b \n c"] + ["".join(rng.choices(alphabet, k=rng.randint(2, 30))) for _ in range(4000)]
+    for t in texts:
+        assert np.frombuffer(b"".join(own.encode(t)), "<u4").tolist() == lib.encode_ordinary(t), t
+
+
 def test_bpe_segments(monkeypatch):
     monkeypatch.setattr(bpe, "SEGMENT", 50)
     own = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
