@@ -4,12 +4,15 @@ Base kinds, leftmost and non-overlapping each: `assign` (a key word, an operator
 more), `access` (AKIA and 16 characters or more), `hex` (24 hexadecimal digits or more). Matches that fail a length drop
 after matching, so they still use up their characters.
 
-Added kinds: candidates are maximal runs of 20 to 4096 characters of [A-Za-z0-9+/_=-]. A window of 20 characters slides over
+Added kinds: candidates are maximal runs of 20 characters or more of [A-Za-z0-9+/_=-]. A window of 20 characters slides over
 each; the sum of c * log2(c) over the counts of its characters is kept up to date from the one character that leaves and
 the one that enters, and gives the window's Shannon entropy. The highest one decides by the candidate's character class:
-`entropy_hex` (hexadecimal digits, letters of one case and digits both present), `entropy_base64` (upper case, lower case and a digit).
-An allow-list suppresses added spans: UUIDs, alphabets in order, EXAMPLE keys, and what follows a digest's,
-commit's or URL's name. Runs of more than 4096 characters count as embedded data. Added spans that lie within a base span are dropped.
+`entropy_hex` (hexadecimal digits, letters of one case and digits both present), `entropy_base64` (upper case, lower case and a digit),
+`entropy_lower` and `entropy_upper` (letters of one case, and digits, `=` allowed: base36 keys, base32 seeds).
+An allow-list suppresses added spans: UUIDs, and what follows a digest's, commit's or URL's name, whole; alphabets in order, eight
+equal characters and EXAMPLE keys (40 characters on either side of the word) only where they stand. Runs that hold one of these, and runs of more than 4096 characters, are scored in pieces of 83
+characters that overlap by 19, each by its own class; neighbouring pieces of one kind that score are one span. Other runs are one span whole.
+Added spans that lie within a base span are dropped.
 
 Defined results: null and empty texts have no spans. Offsets are in code points, ends exclusive. Spans are in order of start, then
 kind as listed here. Whole texts are scanned; spans of a text are built in blocks, so that many of them
@@ -24,18 +27,21 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run from its first AKIA, and a whole run of digits: the same as matching any length and dropping short ones.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: LONGEST: of a run that is one span.
 WINDOW, BLOCK, LONGEST = 20, 64, 4096
 #: Least entropy of the best window, bits a character.
-LEAST = {"entropy_hex": 3.01, "entropy_base64": 3.81}
+LEAST = {"entropy_hex": 3.01, "entropy_base64": 3.81, "entropy_lower": 3.65, "entropy_upper": 3.65}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Allow-list: contents, and what stands right before.
+#: Allow-list: contents that make a run be scored in pieces or, a UUID, not at all; what is cut out before that; what stands right before.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|abcdefgh|01234567|(.)\1{7}"
+UUID = ALLOWED.split("|")[0]
+ALLOWED_PART = r"(?i).{0,40}example.{0,40}|abcdefgh|01234567|(.)\1{7,255}"
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|blake2b?|checksum|digest|integrity|commit|etag|uuid|https?://[^\s]*)[\s:=\"'(\[#@-]*$"
 
 
@@ -100,21 +106,54 @@ def _kind_of(run: Column) -> Column:
     return (
         F.when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & letter, F.lit(3))
         .when(digit & run.rlike("[a-z]") & run.rlike("[A-Z]"), F.lit(4))
+        .when(digit & run.rlike("^[a-z0-9=]+$") & letter, F.lit(5))
+        .when(digit & run.rlike("^[A-Z0-9=]+$") & letter, F.lit(6))
     )
 
 
+def _scores(run: Column, rank: Column) -> Column:
+    """Whether the best window of a run has the least entropy of its kind."""
+    least = F.element_at(F.array(*(F.lit(LEAST.get(k, 99.0)) for k in KINDS)), rank + 1)
+    return best_entropy(run) >= least
+
+
+def _stretches(r: Column) -> Column:
+    """Spans of a run, piece by piece, between the parts that the allow-list has."""
+    parts, cut = F.split(r.found, ALLOWED_PART, -1), F.regexp_extract_all(r.found, F.lit(ALLOWED_PART), F.lit(0))
+    sizes = F.zip_with(parts, cut, lambda p, m: F.char_length(p).cast("bigint") + F.coalesce(F.char_length(m), F.lit(0)).cast("bigint"))
+    own = F.filter(F.arrays_zip(_starts(sizes).alias("at"), parts.alias("p")), lambda x: F.char_length(x.p) >= WINDOW)
+    size = BLOCK + WINDOW - 1
+    count = lambda p: F.floor((F.char_length(p) - WINDOW) / BLOCK).cast("int")
+    rank = lambda piece: F.element_at(F.transform(F.array(_kind_of(piece)), lambda k: F.when(k.isNotNull() & _scores(piece, k), k).otherwise(F.lit(-1))), 1)
+    scored = F.transform(own, lambda x: F.struct(x.at.alias("at"), F.char_length(x.p).alias("n"), F.transform(F.transform(F.sequence(F.lit(0), count(x.p)), lambda b: F.substring(x.p, b * BLOCK + 1, F.lit(size))), rank).alias("h")))
+
+    def spans(x: Column) -> Column:
+        h = lambda k: F.coalesce(F.get(x.h, k), F.lit(-1))
+        every = F.sequence(F.lit(0), F.size(x.h) - 1)
+        first = F.filter(every, lambda k: (h(k) >= 0) & ((k == 0) | (h(k) != h(k - 1))))
+        last = F.filter(every, lambda k: (h(k) >= 0) & ((k == F.size(x.h) - 1) | (h(k) != h(k + 1))))
+        at = lambda k: r.start + x.at + k.cast("bigint") * BLOCK
+        return F.zip_with(first, last, lambda a, b: F.struct(at(a).alias("start"), h(a).alias("rank"), F.least(at(b) + size, r.start + x.at + x.n).alias("end")))
+
+    return F.flatten(F.transform(scored, spans))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base (spans of the base kinds) and found (all spans): arrays of (start, rank, end, kind)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn("__assign", _found(t, ASSIGN, "assign", 2, 6)).withColumn("__access", _found(t, ACCESS, "access")).withColumn("__hex", _found(t, HEX, "hex")).withColumn("__run", _found(t, RUN, "entropy_hex"))
     out = out.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    free = F.filter("__run", lambda r: (F.char_length(r.found) <= LONGEST) & ~r.found.rlike(ALLOWED) & ~r.before.rlike(ALLOWED_BEFORE) & ~F.exists("__base", lambda b: (b.start <= r.start) & (b.end >= r.end)))
-    out = out.withColumn("__free", F.filter(F.transform(free, lambda r: F.struct(r.start.alias("start"), _kind_of(r.found).alias("rank"), r.end.alias("end"), r.found.alias("found"))), lambda r: r["rank"].isNotNull()))
-    least = lambda r: F.when(r["rank"] == 3, F.lit(LEAST["entropy_hex"])).otherwise(F.lit(LEAST["entropy_base64"]))
-    out = out.withColumn("__more", F.filter("__free", lambda r: best_entropy(r.found) >= least(r)))
+    within = lambda r: F.exists("__base", lambda b: (b.start <= r.start) & (b.end >= r.end))
+    out = out.withColumn("__run", F.filter("__run", lambda r: ~r.found.rlike(UUID) & ~r.before.rlike(ALLOWED_BEFORE) & ~within(r)))
+    whole = lambda r: (F.char_length(r.found) <= LONGEST) & ~r.found.rlike(ALLOWED)
+    free = F.transform(F.filter("__run", whole), lambda r: F.struct(r.start.alias("start"), _kind_of(r.found).alias("rank"), r.end.alias("end"), r.found.alias("found")))
+    out = out.withColumn("__free", F.filter(free, lambda r: r["rank"].isNotNull()))
+    out = out.withColumn("__more", F.transform(F.filter("__free", lambda r: _scores(r.found, r["rank"])), lambda r: F.struct(r.start.alias("start"), r["rank"].alias("rank"), r.end.alias("end"))))
+    out = out.withColumn("__pieces", F.flatten(F.transform(F.filter("__run", lambda r: ~whole(r)), _stretches)))
+    out = out.withColumn("__more", F.concat("__more", F.filter("__pieces", lambda r: ~within(r))))
     named = lambda a: F.transform(a, lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))
     out = out.withColumn("base", named(F.col("__base"))).withColumn("found", F.array_sort(F.concat("base", named(F.col("__more")))))
-    return out.drop("__assign", "__access", "__hex", "__run", "__base", "__free", "__more")
+    return out.drop("__assign", "__access", "__hex", "__run", "__base", "__free", "__more", "__pieces")
 
 
 def digest(spans: Column) -> Column:

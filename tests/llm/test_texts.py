@@ -181,6 +181,25 @@ def test_secrets_and_masking(spark):
         assert r["text"] == (None if t is None else want + t[at:])
 
 
+def test_secrets_in_long_runs_and_other_classes(spark):
+    rng = random.Random(11)
+    draw = lambda chars, k: "".join(rng.choices(chars, k=k))
+    key = draw("ABCDEFGHabcdefgkmnopqrstuvwxyzQRSTUV0123456789", 60)
+    lower, upper = "0" + draw("abcdefghijklmnopqrstuvwxyz0123456789", 40), "2" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40)
+    long = draw("-_", 5000) + key + draw("-_", 5000)
+    texts = [long, f"x {lower} y", f"seed {upper}", "AAAAAAAA" + key, key + "01234567" + "=" * 30, "é " + draw(secretscan.ALPHABET, 9000), "-" * 20000, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY 0123456789abcdef0123456789", "123e4567-e89b-12d3-a456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in secretscan.scan(df).collect()}
+    inside = lambda k, what: any(s["start"] <= texts[k].index(what) and s["end"] >= texts[k].index(what) + len(what) for s in got[k])
+    assert inside(0, key) and all(s["end"] - s["start"] < 400 for s in got[0])
+    assert inside(1, lower) and got[1][0]["kind"] == "entropy_lower" and inside(2, upper) and got[2][0]["kind"] == "entropy_upper"
+    assert inside(3, key) and got[3][0]["start"] == 8 and inside(4, key)
+    assert sum(s["end"] - s["start"] for s in got[5]) >= 8900
+    assert not got[6] and not [s for s in got[7] if s["rank"] > 2] and not got[8]
+    clean = {r["doc_id"]: r["text"] for r in secretscan.masked(df).collect()}
+    assert all(key not in clean[k] for k in (0, 3, 4)) and clean[1] == "x [secret] y" and clean[6] == texts[6]
+
+
 def test_secret_scan_is_native(spark):
     plan = queries.op3_secret_scan(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
