@@ -44,7 +44,7 @@ class LanguageModel:
 
 @cache
 def _letters() -> np.ndarray:
-    """Each 16-bit code to itself if a letter, else to a space; planes above go to one private code."""
+    """Each 16-bit code to itself if a letter, else to a space."""
     return np.array([k if chr(k).isalpha() else 32 for k in range(1 << 16)], np.uint16)
 
 
@@ -53,7 +53,11 @@ def presence(text: str | None) -> np.ndarray:
     seen = np.zeros(1 << BITS, bool)
     for part in grams.windows((text or "").lower(), max(ORDERS) - 1):
         x = grams.codes(part)
+        high = x[x >= 1 << 16]
         x = np.where(x < 1 << 16, _letters()[np.minimum(x, 0xFFFF)], np.uint16(0xF8FF))
+        if len(high):  # letters of planes above go to one private code
+            own, at = np.unique(high, return_inverse=True)
+            x[x == 0xF8FF] = np.array([0xF8FF if chr(k).isalpha() else 32 for k in own.tolist()], np.uint16)[at]
         keep = x != 32
         if not keep.any():
             continue

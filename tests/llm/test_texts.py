@@ -54,6 +54,13 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def test_language_needs_a_letter_in_any_plane():
+    assert not langid.presence("\U0001f642 \U0001f680\U0001f3fd 12 \U0001d7d9").any()
+    assert langid.presence("\U0001d49c").any() and langid.presence("\U00020000\U0001f642").any()
+    assert (langid.presence("ab\U0001f642cd") == langid.presence("ab cd")).all()
+    assert not langid.presence("\uf8ff \ue000").any()
+
+
 def test_language_window_borders(monkeypatch):
     text = "wörter und noch mehr wörter " * 50
     whole = langid.presence(text)
