@@ -5,7 +5,7 @@ the columns of docs; columns beside those that a stage works on go through uncha
 
 - language: documents without a letter go (`und`), null and empty texts among them; so do those whose margin is below the model's
   `least`: every function says that the text is of none of the languages learned.
-- quality: documents whose score is below QUALITY_LEAST go. The bound lies below 0.5, so that doubtful documents stay.
+- quality: documents that the classifier rejects go (`predicted` is 0).
 - near_copies: of documents whose shingle sets link, directly or through others, the one with the smallest id stays; of
   rows that share an id, one stays. Rows with a null id link with nothing and stay.
 - secrets: spans found are replaced by a mark; n_chars follows where a text changes.
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import common, jaccard, langid, packing, quality, secretscan
 
-QUALITY_LEAST = 0.2
 LABELLED_ROWS = 3000  # bound on the sample that the quality classifier learns from
 END_ID = 2
 
@@ -35,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.sample(docs, labels, LABELLED_ROWS))
     told = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return told.where(F.col("score") >= QUALITY_LEAST).select("row.*")
+    return told.where(F.col("predicted") == 1).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,5 +60,13 @@ def test_language_rejects_what_was_not_learned(spark):
     assert len(left) >= 0.99 * docs.count()
 
 
+def test_quality_stage_follows_the_operator(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    told = lambda docs, model: docs.withColumn("score", F.lit(0.3)).withColumn("predicted", F.when(F.col("row.doc_id") % 2 == 0, 1).otherwise(0))
+    monkeypatch.setattr(corpus_pipeline.quality, "score", told)
+    got = [r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, docs, SMALL).collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] % 2 == 0)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 50
