@@ -13,14 +13,18 @@ gapless, doesn't. Columns other than those named are not read.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,57 +36,110 @@ KIND = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, s
 NAMES = [x.split()[0] for x in KIND.split(", ")]
 
 
-class Chunks:
-    """Ids of texts by a tokenizers file: pieces between spaces and line ends are looked up in a bounded cache.
+#: How the files that Words can speed up normalise texts and divide them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+DIVIDED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+END = "</w>"
+
+
+def _class(codes: Iterable[int]) -> str:
+    """Code points as the inside of a regular expression's class."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
-    The file's pre-tokenizer never joins what white space divides, so that pieces can be encoded apart.
-    """
 
-    def __init__(self, path: str, cached: int = 600_000):
-        import os
+def _plain() -> tuple[str, str]:
+    """Letters and marks, as classes, that normalising leaves in place or lower-cases one by one, and that every Unicode version has alike."""
+    kind = unicodedata.category
+    letters = [c for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x530)) if kind(chr(c)) in ("Lu", "Ll") and len(chr(c).lower()) == 1 and unicodedata.is_normalized("NFC", chr(c))]
+    marks = [c for c in (*range(0x21, 0x7F), *range(0xA1, 0x100), *range(0x2010, 0x2028)) if kind(chr(c))[0] in "PS"]
+    return _class(letters), _class(marks)
+
+
+class Words:
+    """Ids of texts by a tokenizers file.
+
+    Its merges by rank over words with an end are those of a rank encoder whose tokens have a space where the file marks a word's end: the file's
+    ids rise with its merges, so they are ranks, and a byte with that space comes before all of them. So a text
+    of plain letters, digits and marks is lower-cased, gets spaces around marks and digits, and is encoded in one call. Texts with other characters, and all texts if the
+    file is of another build, go through the tokenizers library whole.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = common.Remembered(self.ids, cached)
-        self.known[""] = b""
-        # tokens that end a word
-        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(self.tokenizer.get_vocab_size())])
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, piece: str) -> bytes:
-        if piece[-1:] in (",", ".") and piece[-2:-1].lower().isalpha():  # two pre-tokens
-            return self.known[piece[:-1]] + self.known[piece[-1]]
-        return self.raw([piece])[0]
-
-    def learn(self, words: list[str], together: int = 500) -> None:
-        """Remembers words of letters alone, many in one call: each is one pre-token, whose last token is the only one that ends a word."""
-        for at in range(0, len(words), together):
-            own = words[at : at + together]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            end = np.flatnonzero(self.ends[ids]) + 1
-            if len(end) == len(own):  # else some letters become others that divide a word: one by one, when they are asked for
-                raw, start = ids.tobytes(), 0
-                for w, e in zip(own, (4 * end).tolist(), strict=True):
-                    self.known.add(w, raw[start:e])
-                    start = e
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {x[:-1] if x[-1:] in (",", ".") and x[-2:-1].lower().isalpha() else x for p in pieces for x in set(p) if x not in self.known}
-        self.learn(sorted(x for x in new if len(x) <= self.known.longest and x.isalpha() and x not in self.known and x not in self.known.old))
-        for p in pieces:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4")
+        letters, marks = _plain()
+        self.odd = rf"[^\t\n\r 0-9{letters}{marks}]"
+        self.apart = rf"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[{marks}]+|[\t\n\r]"
+        with open(path, encoding="utf-8") as f:
+            self.ranked = self.ranks(json.load(f))
+        if self.ranked and [x.tolist() for x in self.fast(pa.array([SAMPLE]))] != [x.tolist() for x in self.whole([SAMPLE])]:
+            self.ranked = None
+
+    @staticmethod
+    def ranks(file: dict):
+        """A rank encoder that does the same, or None for a file of another build."""
+        import tiktoken
+
+        model, divide = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        names, merges = model.get("vocab") or {}, [x if isinstance(x, list) else x.split(" ") for x in model.get("merges") or []]
+        known = file.get("normalizer") == NORMALIZER and divide[0].get("pattern") == {"Regex": DIVIDED} and [x.get("type") for x in divide] == ["Split", "ByteLevel"] and not divide[1].get("add_prefix_space")
+        if not known or model["type"] != "BPE" or model.get("end_of_word_suffix") != END or model.get("ignore_merges") or not merges:
+            return None
+        # the byte-level alphabet: printable bytes stand for themselves, others for what follows U+00FF
+        printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printed]
+        byte = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
+        ended = lambda x: x.endswith(END) and x != END
+        try:
+            rank = {bytes(byte[c] for c in x.removesuffix(END)) + b" " if ended(x) else bytes(byte[c] for c in x): k for x, k in names.items()}
+            made = [names[a + b] for a, b in merges]
+        except KeyError:
+            return None
+        first = min(made)
+        if made != list(range(first, first + len(made))) or len(rank) != len(names) or any(rank.get(bytes([b]) + e, first) >= first for b in range(256) for e in (b"", b" ")):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"[^ \t\n\r]+ ", mergeable_ranks=rank, special_tokens={})
+
+    def whole(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def fast(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), self.apart, r" \0 ")
+        for x in spaced.to_pylist():
+            yield self.ranked.encode_to_numpy(x + " ", disallowed_special=()).astype("<u4", copy=False)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column, null ones being empty."""
+        texts = texts.fill_null("")
+        if not self.ranked:
+            yield from self.whole(texts.to_pylist())
+            return
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain = self.fast(texts.filter(pc.invert(odd)))
+        # one text at a time: ids with what the library keeps beside them take many times a text's room
+        others = (ids for x in texts.filter(odd).to_pylist() for ids in self.whole([x]))
+        for is_odd in odd.to_pylist():
+            yield next(others if is_odd else plain)
+
+
+#: Says at load whether a file's words are encoded alike both ways.
+SAMPLE = "Abc, d\u00e9 EF.\n\nG\u0416 $$jk=4;l 1234 (m)\t'n o's ''s don't we'LL extraordinarily"
 
 
 @cache
-def chunks(path: str) -> Chunks:
+def words(path: str) -> Words:
     """One for each worker process."""
-    return Chunks(path)
+    return Words(path)
 
 
 class Packer:
@@ -132,14 +189,14 @@ def pack(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        own, p = chunks(path), Packer(window, open_windows, part << 32)
+        own, p = words(path), Packer(window, open_windows, part << 32)
 
         def batch(rows: list[tuple], group: int | None) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array([group] * len(rows), pa.int64())], names=[*NAMES, "leftover"])
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     own_ids = ids[start : start + window]

@@ -41,7 +41,7 @@ def test_stages(spark):
         old = before[r["doc_id"]]
         assert (r["text"] == old["text"]) == (not brute_secrets(old["text"])[2]) and (r["text"] == old["text"] and r["n_chars"] == old["n_chars"] or "[secret]" in r["text"] and r["n_chars"] == len(r["text"]))
 
-    packed(stages["packing"](spark, four, SMALL).collect(), [r["text"] for r in four.collect()])
+    packed(stages["packing"](spark, four, SMALL).collect(), [(r["doc_id"], r["text"]) for r in four.collect()])
 
 
 def test_language_rejects_what_was_not_learned(spark):

@@ -14,6 +14,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -286,16 +287,16 @@ def test_bpe_segments(monkeypatch):
 
 def packed(rows, texts, window=4096):
     """Checks the pieces; returns the share of windows that is filled."""
-    own = packing.chunks(public_tokenizers.path("word_bpe_49k.json"))
-    ids = [np.array(own.tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for t in texts]
+    own = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [(i, np.array(own.tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")) for i, t in texts]
     at = defaultdict(list)
     for r in rows:
         at[r["sequence_id"]].append(r)
     for s in at.values():
         s.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in s] == [sum(x["length"] for x in s[:k]) for k in range(len(s))] and sum(r["length"] for r in s) <= window
-    pieces = sorted((r["length"], r["start"], r["doc_tokens"], r["ids_crc32"]) for r in rows)
-    want = sorted((len(x[s : s + window]), s, len(x), zlib.crc32(x[s : s + window].tobytes())) for x in ids for s in range(0, len(x), window))
+    pieces = sorted((str(r["doc_id"]), r["length"], r["start"], r["doc_tokens"], r["ids_crc32"]) for r in rows)
+    want = sorted((str(i), len(x[s : s + window]), s, len(x), zlib.crc32(x[s : s + window].tobytes())) for i, x in ids for s in range(0, len(x), window))
     assert pieces == want
     return sum(r["length"] for r in rows) / (len(at) * window)
 
@@ -303,12 +304,35 @@ def packed(rows, texts, window=4096):
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     df, rows = odd(spark, [*ODD, "word " * 9000])
-    packed(packing.pack(df, path, 2).collect(), [t for _, t in rows])
+    packed(packing.pack(df, path, 2).collect(), rows)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3)
-    assert packed(packing.pack(docs, path, 2, open_windows=4).collect(), [r["text"] for r in docs.collect()]) > 0.9
+    assert packed(packing.pack(docs, path, 2, open_windows=4).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()]) > 0.9
     assert packing.pack(df.limit(0), path, 2).count() == 0
 
 
+def test_words_equal_the_library():
+    """Plain and odd characters, alone and beside others; every token's own text; files of another build go through the library."""
+    own = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    assert own.ranked and not packing.words(public_tokenizers.path("byte_bpe_50k.json")).ranked
+    rng = random.Random(4)
+    chars = [chr(c) for c in (*range(9, 0x530), *range(0x2000, 0x2030))]
+    texts = [t for t in ODD if t] + [x for c in chars for x in (c, f"a{c}b", f"1{c}'s", f"{c} {c}{c}")]
+    texts += ["".join(rng.choice(chars if rng.random() < 0.3 else "abst'\u2019  \n\t.,$019r\u00e9lmdve") for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    texts += [x.removesuffix("</w>") for x in list(own.tokenizer.get_vocab())[::20]] + ["x" * 30000, "word " * 3000 + "\u4e2d"]
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    for t, ids in zip(texts, own.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+    # a token's symbols merge to the token and nothing else, so that ranks of whole tokens say the same as pairs
+    rank = own.ranked._mergeable_ranks
+    for token, k in list(rank.items())[:: 7]:
+        parts = [token[at : at + 1] for at in range(len(token))]
+        while len(parts) > 1:
+            low, at = min((rank.get(a + b, 1 << 60), at) for at, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            assert low <= k
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    assert [len(x) for x in own.encode(pa.array([None, "", "a"]))] == [0, 0, 1]
+
+
 def test_packer_best_fit():
     p = packing.Packer(10, 2, 0)
     for size in (6, 7, 3, 4, 9, 8):
