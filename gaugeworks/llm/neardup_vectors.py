@@ -1,13 +1,16 @@
-"""Near-duplicate vectors by products of whole blocks.
+"""Near-duplicate vectors by sorted projection passes.
 
-Equal vectors are one class first, so that any number of copies is one row. The classes of one label and length are dealt by a hash
-into blocks, and each block meets each block of its group and itself in one cell; so every pair is compared once, however large a group of near
-vectors is. A cell is a matrix product in tiles. Pairs at the threshold or above are links; those
-close to it are decided in double precision. No pair becomes a row: a cell gives the count of links of each of its classes, and the links that
-join its classes to components for the first time.
+Equal vectors are one class first, so that any number of copies is one row. A pass gives each class a key, the signs of 64 random
+projections, and orders the classes of all labels by (label, length, key), lexicographically. The order is cut into blocks of `window` rows, and each row is
+compared with its own block, the one before and the one after, across the borders of tasks too. Pairs at the threshold or above are links, and links of all passes
+are united. A row keeps its block of every pass: a pair counts in the first pass that compares it and never again, so that counts add up, and
+no pair becomes a row: what leaves a comparison are counts, and links that join classes for the first time.
 
-Work grows with the square of a label's classes, whatever they hold. A class is sent to as many cells as its group has blocks: blocks have
-`window` rows at least, and grow with the group so that there are about MOST of them, up to BLOCK_BYTES.
+There are so many passes that a pair at the threshold is missed with a probability well below `missed` where the rows of a label lie evenly; the number grows slowly with
+the largest label. Where they don't, as in a group of more near vectors than a block has, windows are narrow for what they must hold. So each row adds up, over passes, the chance
+that a partner at the threshold lay outside: it must have agreed with the row in fewer leading signs than the window covers. Rows above `missed` are
+compared with all rows of their label, block by block, without the pairs that a pass has compared: that is the exact way for saturated windows. Its work
+is the number of such rows times the rows of their labels.
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, and rows with a null label or id link with nothing:
 n_links 0, component their own id. Vectors of different lengths never link. Repeated rows (same id, label and
@@ -16,7 +19,9 @@ vector) are one row of the result. Columns other than those named are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a tile; doubt about products in single precision; blocks that a group has, while they stay below the bytes.
-TILE, DOUBT, MOST, BLOCK_BYTES = 1024, 1e-4, 32, 1 << 26
+#: Rows of a tile; doubt about products in single precision; signs in a key; blocks that a task compares in one go.
+TILE, DOUBT, SIGNS, TOGETHER = 1024, 1e-4, 64, 8
+#: Blocks of the exact way: about so many to a label, while they stay below the bytes.
+MOST, BLOCK_BYTES = 32, 1 << 26
 
 
 def valid(v: Column) -> Column:
@@ -41,37 +48,81 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def product(x: np.ndarray, ids: np.ndarray, n: np.ndarray, y: np.ndarray, theirs: np.ndarray, m: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Of two blocks of unit vectors, with their ids and members: the linked members of each row on either side, and a forest of links.
+def normal(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True, initial=5e-324)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    same: y is x; each pair counts once then, for both of its rows.
+
+def units(raw: list[bytes], size: int) -> np.ndarray:
+    """Unit vectors out of packed ones, in double precision."""
+    kind = lambda r: np.float32 if len(r) == 4 * size else np.float64
+    return normal(np.array([np.frombuffer(r, kind(r)) for r in raw], np.float64).reshape(len(raw), size))
+
+
+def agreement(threshold: float) -> float:
+    """The probability that a random projection's sign is the same for two vectors at the threshold."""
+    return 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+
+def passes(rows: int, window: int, threshold: float, missed: float) -> int:
+    """Passes after which a pair at the threshold is missed with a probability of missed at most, if rows lie evenly."""
+    found = agreement(threshold) ** max(0.0, math.log2(max(1, rows) / window) + 1)
+    return math.ceil(math.log(missed) / math.log(1 - found)) if found < 1 else 1
+
+
+@lru_cache(2)
+def directions(size: int, count: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, size]).standard_normal((size, SIGNS * count), np.float32)
+
+
+def leading(x: np.ndarray) -> np.ndarray:
+    """How many leading bits of 64 are zero."""
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    bits = lambda v: np.frexp(v)[1]  # 0 for 0; exact, as 32 bits fit a double
+    return np.where(high > 0, 32 - bits(high), 64 - bits(low))
+
+
+class Rows:
+    """Rows to compare: ids, members, unit vectors, and for each row its blocks of some passes."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray, blocks: np.ndarray):
+        self.ids, self.n, self.x, self.low, self.blocks = ids, n.astype(np.float64), x, x.astype(np.float32), blocks
+
+
+def product(one: Rows, two: Rows, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of two sets of rows: the linked members of each row on either side, and a forest of links.
+
+    same: two is one; each pair counts once then, for both of its rows. Pairs in equal or neighbouring blocks of any pass listed are left out.
     """
-    more, others = np.zeros(len(x)), np.zeros(len(y))
-    parent: list[int] = list(range(len(x) if same else len(x) + len(y)))
-    shift, forest = 0 if same else len(x), []
+    more, others = np.zeros(len(one.x)), np.zeros(len(two.x))
+    parent: list[int] = list(range(len(one.x) if same else len(one.x) + len(two.x)))
+    shift, forest = 0 if same else len(one.x), []
 
     def find(k: int) -> int:
         while (p := parent[k]) != k:
             parent[k] = k = parent[p]
         return k
 
-    low, wide = x.astype(np.float32), y.astype(np.float32)
-    for at in range(0, len(x), TILE):
-        for to in range(at if same else 0, len(y), TILE):
-            f = low[at : at + TILE] @ wide[to : to + TILE].T
+    for at in range(0, len(one.x), TILE):
+        for to in range(at if same else 0, len(two.x), TILE):
+            f = one.low[at : at + TILE] @ two.low[to : to + TILE].T
             near = f >= threshold - DOUBT
             if same and at == to:
                 near = np.triu(near, 1)
             if not near.any():
                 continue
-            near &= ids[at : at + TILE, None] != theirs[to : to + TILE]  # an id with several vectors
+            near &= one.ids[at : at + TILE, None] != two.ids[to : to + TILE]  # an id with several vectors
+            for p, q in zip(one.blocks.T, two.blocks.T, strict=True):
+                p, q = p[at : at + TILE], q[to : to + TILE]
+                if p.min() <= q.max() + 1 and q.min() <= p.max() + 1:
+                    near &= np.abs(p[:, None] - q) > 1
             i, j = np.nonzero(near & (f < threshold + DOUBT))
             for k in range(0, len(i), 1 << 16):
                 u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                near[u, v] = np.einsum("ij,ij->i", x[at + u], y[to + v]) >= threshold
+                near[u, v] = np.einsum("ij,ij->i", one.x[at + u], two.x[to + v]) >= threshold
             whole = near.astype(np.float64)
-            more[at : at + TILE] += whole @ m[to : to + TILE]
-            (more if same else others)[to : to + TILE] += n[at : at + TILE] @ whole
+            more[at : at + TILE] += whole @ two.n[to : to + TILE]
+            (more if same else others)[to : to + TILE] += one.n[at : at + TILE] @ whole
             while True:  # one link a row out of its component, until none is left
                 a, b = (np.array([find(k) for k in range(low_k, low_k + size)]) for low_k, size in ((at, near.shape[0]), (shift + to, near.shape[1])))
                 out = near & (a[:, None] != b)
@@ -83,80 +134,206 @@ def product(x: np.ndarray, ids: np.ndarray, n: np.ndarray, y: np.ndarray, theirs
                     p, q = find(u), find(shift + v)
                     if p != q:
                         parent[max(p, q)] = min(p, q)
-                        forest.append((int(ids[u]), int(theirs[v])))
+                        forest.append((int(one.ids[u]), int(two.ids[v])))
     return more, others, forest
 
 
-def links(classes: DataFrame, threshold: float, window: int, seed: int) -> DataFrame:
-    """Of classes (rep, label, v, n), n their members: rows (a, b, null), links that join all that is linked, and rows (a, null, more), parts of
-    the count of members that rep a links with."""
-    common.batches(classes.sparkSession)
+FOUND = "a long, b long, more long, out double"
+
+
+def _found(a: np.ndarray, more: np.ndarray, out: np.ndarray, forest: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, null, more, out) for counts, and (a, b, null, null) for links."""
+    names = ["a", "b", "more", "out"]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(more.astype(np.int64)), pa.array(out, pa.float64())], names=names)
+    u, v = np.array(forest, np.int64).reshape(-1, 2).T
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.float64())], names=names)
+
+
+def _keyed(classes: DataFrame, count: int, seed: int) -> DataFrame:
+    """(rep, label, size, n, raw, keys) of classes (rep, label, v, n): raw, the vector packed in as few bytes as hold it exactly; keys, one for each pass."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = np.array([len(x) for x in b.column(2)])
             for size in np.unique(sizes):
                 rows = b.take(pa.array(np.flatnonzero(sizes == size)))
                 x = matrix(rows.column(2))
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(x), size), pa.int32()), rows.column(3), raw], names=["rep", "label", "size", "n", "u"])
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                raw = [s.tobytes() if k else r.tobytes() for k, s, r in zip((short == x).all(1).tolist(), short, x, strict=True)]
+                signs = normal(x).astype(np.float32) @ directions(int(size), count, seed) >= 0
+                keys = np.packbits(signs, axis=1).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)  # in the order of signed numbers
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), count).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(x), size), pa.int32()), rows.column(3), pa.array(raw, pa.binary()), keys], names=["rep", "label", "size", "n", "raw", "keys"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return classes.select("rep", "label", "v", "n").mapInArrow(run, "rep long, label string, size int, n long, raw binary, keys array<long>")
+
+
+def _placed(keyed: DataFrame) -> DataFrame:
+    """keyed with places, one for each pass: the row's place in the order of all passes' rows."""
+    spark = keyed.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["pass", "label", "size", "key", "rep"]
+    # hashes stand for labels beside the sort: rows without vectors are ordered
+    rows = keyed.select("rep", "label", "size", F.posexplode("keys").alias("pass", "key"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("rep", "pass", F.monotonically_increasing_id().alias("m"))
+    ordered, _ = common.stored(ordered, "order")
+    task = F.shiftright("m", 33)
+    sizes = sorted(tuple(r) for r in ordered.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task
+    before, total = [], 0
+    for t, n in sizes:
+        before.append((t, total))
+        total += n
+    start = F.broadcast(spark.createDataFrame(before, "t long, start long"))  # a row for each task
+    at = ordered.join(start, task == F.col("t")).select("rep", F.struct("pass", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("at")).alias("p"))
+    places = at.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.at).alias("places"))  # as many as passes
+    return keyed.join(places, "rep")
+
+
+def _passes(placed: DataFrame, window: int, threshold: float) -> DataFrame:
+    """FOUND of all passes: counts and links, and in `out` the logarithm of the chance that a pass left a partner of a row outside."""
+    group = window * TOGETHER
+    rows = placed.select("rep", "label", "size", "n", "raw", "places", F.posexplode(F.arrays_zip("keys", "places")).alias("pass", "own")).select("*", F.col("own.keys").alias("key"), F.col("own.places").alias("at")).drop("own")
+    block, g = F.floor(F.col("at") / window), F.floor(F.col("at") / group)
+    # a group has its rows, the block before them, and the last row of the block after
+    last = block % TOGETHER == TOGETHER - 1
+    first = (block % TOGETHER == 0) & (F.col("at") % window == window - 1) & (g > 0)
+    rows = rows.withColumn("g", F.explode(F.when(last, F.array(g, g + 1)).when(first, F.array(g, g - 1)).otherwise(F.array(g))))
+    chance = agreement(threshold)
+
+    def whole(g: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        at, rep, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 6))
+        key, block = np.array([r[7] for r in rows], np.int64).view(np.uint64), at // window
+        inside = block // TOGETHER == g
+        more, out, forest = np.zeros(len(rows)), np.zeros(len(rows)), []
+        change = [k for k in range(1, len(rows)) if rows[k][3:6] != rows[k - 1][3:6]]
+        for low, high in zip([0, *change], [*change, len(rows)], strict=True):  # rows of one pass, label and length
+            if not inside[low:high].any():
+                continue
+            until = low + int(np.flatnonzero(inside[low:high])[-1]) + 1
+            number, size = rows[low][3], rows[low][5]
+            x = units([r[8] for r in rows[low:until]], size)
+            blocks = np.array([r[9][:number] for r in rows[low:until]], np.int64).reshape(until - low, number) // window
+            cuts = [low, *(low + 1 + np.flatnonzero(np.diff(block[low:until]))).tolist(), until]
+            held = None
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = Rows(rep[a:b], n[a:b], x[a - low : b - low], blocks[a - low : b - low])
+                if held is not None:
+                    m, o, f = product(held[0], now, False, threshold)
+                    more[held[1] : a] += m
+                    more[a:b] += o
+                    forest += f
+                held = now, a
+                if not inside[a]:
+                    continue
+                m, _, f = product(now, now, True, threshold)
+                more[a:b] += m
+                forest += f
+                known = np.full(b - a, -1)  # leading signs that rows outside may share
+                for place in ((block[a] - 1) * window, (block[a] + 2) * window - 1):
+                    k = int(np.searchsorted(at, place))
+                    if low <= k < high and at[k] == place:  # else the window holds all on this side
+                        known = np.maximum(known, leading(key[a:b] ^ key[k]))
+                within = np.where(known < SIGNS, chance ** (known + 1.0), 0.0)
+                out[a:b] = np.log1p(-np.minimum(within, 1 - 1e-16))
+                out[a:b][known < 0] = -50.0
+        told = inside | (more > 0)
+        yield from _found(rep[told], more[told], out[told], forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != now:
+                    if rows:
+                        yield from whole(now, rows)
+                    now, rows = row[0], []
+                rows.append(row)
+        if rows:
+            yield from whole(now, rows)
+
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("g", "at", "rep", "pass", "label", "size", "n", "key", "raw", "places").repartition(parts, "g").sortWithinPartitions("g", "at")
+    return dealt.mapInArrow(run, FOUND)
+
+
+def _rest(placed: DataFrame, unsafe: DataFrame, window: int, threshold: float, seed: int) -> DataFrame:
+    """FOUND of the pairs that no pass compared and that have a row of unsafe (rep)."""
+    marked = placed.drop("keys").join(unsafe.select("rep", F.lit(True).alias("unsafe")), "rep", "left").withColumn("unsafe", F.coalesce("unsafe", F.lit(False)))
+    marked, _ = common.stored(marked, "marked")
+    # rows of a block: so many blocks to a label as MOST says, unless they'd be small or large
+    fits = F.greatest(F.lit(4 * window), F.least(F.ceil(F.col("all") / MOST), F.floor(BLOCK_BYTES / (8 * F.col("size")))))
+    sizes = marked.groupBy("label", "size").agg(F.count(F.lit(1)).alias("all"), F.count_if("unsafe").alias("u")).where("u > 0")
+    sizes, _ = common.stored(sizes.select("label", "size", F.ceil(F.col("u") / fits).cast("int").alias("nu"), F.ceil(F.col("all") / fits).cast("int").alias("na")), "sizes")
+    dealt = marked.join(sizes, ["label", "size"])
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(seed + salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = dealt.where("unsafe").withColumn("p", own("nu", 1)).withColumn("q", every("na")).withColumn("side", F.lit(0))
+    told = dealt.withColumn("q", own("na", 2)).withColumn("p", every("nu")).withColumn("side", F.lit(1))
+    cells = ask.unionByName(told).select("label", "size", "p", "q", "side", "rep", "n", "unsafe", "raw", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sides = None, ([], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            """What the cell that is held gives."""
-            same = cell[2] == cell[3]
-            one, two = ((np.frombuffer(b"".join(r[2] for r in side)).reshape(len(side), -1) if side else np.zeros((0, cell[1])), np.array([r[0] for r in side], np.int64), np.array([r[1] for r in side], np.float64)) for side in (sides[0], sides[0] if same else sides[1]))
-            more, others, forest = product(*one, *two, same, threshold)
-            a, n = [one[1][more > 0]], [more[more > 0]]
-            if not same:
-                a, n = [*a, two[1][others > 0]], [*n, others[others > 0]]
-            a, n = np.concatenate(a), np.concatenate(n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(n)], names=["a", "b", "more"])
-            u, v = np.array(forest, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["a", "b", "more"])
+            if not all(sides):
+                return
+            one, two = (Rows(np.array([r[0] for r in s], np.int64), np.array([r[1] for r in s]), units([r[3] for r in s], cell[1]), np.array([r[4] for r in s], np.int64) // window) for s in sides)
+            more, others, forest = product(one, two, False, threshold)
+            others[np.array([r[2] for r in sides[1]])] = 0  # these ask themselves
+            a, m = np.concatenate([one.ids[more > 0], two.ids[others > 0]]), np.concatenate([more[more > 0], others[others > 0]])
+            yield from _found(a, m, np.zeros(len(a)), forest)
 
         for batch in batches:
-            for label, size, p, q, side, rep, n, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label, size, p, q, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, size, p, q) != cell:
                     if cell:
                         yield from done()
                     cell, sides = (label, size, p, q), ([], [])
-                sides[side].append((rep, n, u))
+                sides[side].append(row)
         if cell:
             yield from done()
 
-    spark = classes.sparkSession
-    # a table: read for the counts and for the rows
-    keyed, _ = common.stored(classes.select("rep", "label", "v", "n").mapInArrow(keys, "rep long, label string, size int, n long, u binary"), "vectors")
-    block = F.greatest(F.lit(window), F.least(F.ceil(F.col("all") / MOST), F.floor(BLOCK_BYTES / (8 * F.col("size")))))
-    large = keyed.groupBy("label", "size").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > window).select("label", "size", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(F.broadcast(large), ["label", "size"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("label", "size", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "u")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cells.repartition(parts, "label", "size", "p", "q").sortWithinPartitions("label", "size", "p", "q").mapInArrow(compare, "a long, b long, more long")
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(parts, "label", "size", "p", "q").sortWithinPartitions("label", "size", "p", "q").mapInArrow(run, FOUND)
 
 
-def deduplicate(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, window: int = 1024, seed: int = 11) -> DataFrame:
-    """(id, n_links, component_id, kept) for each vector; window: least rows of a block of a group that has more."""
+def links(classes: DataFrame, threshold: float, window: int, missed: float, least_passes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of classes (rep, label, v, n), n their members: (a, b), links that join all that is linked, and (rep, more), the members of other
+    classes that rep links with."""
+    common.batches(classes.sparkSession)
+    most = classes.groupBy("label", F.size("v")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    count = max(least_passes, passes(most, window, threshold, missed / 5))
+    keyed, keyed_path = common.stored(_keyed(classes, count, seed), "keyed")
+    placed, _ = common.stored(_placed(keyed), "placed")
+    common.drop_stored(classes.sparkSession, keyed_path)
+    found, _ = common.stored(_passes(placed, window, threshold), "found")
+    unsafe = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("out").alias("out")).where(F.col("out") > math.log(missed))
+    unsafe, _ = common.stored(unsafe.select("rep"), "unsafe")
+    if unsafe.limit(1).count():
+        rest, _ = common.stored(_rest(placed, unsafe, window, threshold, seed), "rest")
+        found = found.unionByName(rest)
+    return found.where("b is not null").select("a", "b"), found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("more").alias("more"))
+
+
+def deduplicate(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, window: int = 512, missed: float = 0.01, least_passes: int = 16, seed: int = 11) -> DataFrame:
+    """(id, n_links, component_id, kept) for each vector.
+
+    window: rows of a block; missed: the bound on the chance that a pair right at the threshold isn't compared; least_passes: passes at least.
+    """
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     own = own.withColumn("takes_part", valid(F.col("v")) & F.col("id").isNotNull() & F.col("label").isNotNull())
     # two 64-bit hashes name a class
     own = own.withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(seed), "v", "label"))
     members = own.where("takes_part").select("id", "k1", "k2").distinct()
-    classes = own.where("takes_part").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"))
-    sizes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = classes.drop("rep").join(sizes, ["k1", "k2"])
-    found, _ = common.stored(links(classes, threshold, window, seed), "links")
-    roots, _ = common.components(found.where("b is not null"))
-    degree = found.where("more is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("more").alias("more"))
+    classes = own.where("takes_part").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"))
+    sizes, _ = common.stored(members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "sizes")
+    classes, _ = common.stored(classes.join(sizes, ["k1", "k2"]).select("rep", "label", "v", "n"), "classes")
+    joined, degree = links(classes, threshold, window, missed, least_passes, seed)
+    roots, _ = common.components(joined)
     of_class = sizes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    # a table, so that a class with very many members can be split in the join
+    of_class, _ = common.stored(of_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "classes")
     linked = members.join(of_class, ["k1", "k2"]).select("id", "n_links", "component_id")
     rest = own.where("not takes_part").select("id", "k1", "k2").distinct().select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(rest)

@@ -117,7 +117,7 @@ def vectors(seed, n=400, d=24):
 def test_vector_dedup(spark):
     rows = vectors(1)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
-    got = {r["vec_id"]: r for r in neardup_vectors.deduplicate(df, window=64).collect()}
+    got = {r["vec_id"]: r for r in neardup_vectors.deduplicate(df, window=64, missed=1e-9).collect()}
     ok = [(i, np.array(v), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)]
     links = [(a, b) for k, (a, x, y) in enumerate(ok) for b, z, w in ok[k + 1 :] if y == w and len(x) == len(z) and x @ z / np.sqrt((x @ x) * (z @ z)) >= 0.93]
     n, root = defaultdict(int), closed({r[0] for r in rows}, links)
@@ -143,7 +143,7 @@ def test_vector_dedup_large_group(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = neardup_vectors.deduplicate(df, window=64).collect()
+        got = neardup_vectors.deduplicate(df, window=64, missed=1e-9).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert near.sum() > 600_000
