@@ -1,7 +1,12 @@
-"""Sessions and tables."""
+"""Sessions, tables, and tables of their own that cut a plan."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +29,31 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; sf_dir may be any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a session on one machine gets a temporary folder, which goes when the driver ends; on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        set_ = context._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            folder = set_.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="gaugeworks-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            context.setCheckpointDir(f"file://{own}")
+            folder = context._jsc.sc().getCheckpointDir().get()
+        else:
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: what reads it has a short plan with known sizes, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/gaugeworks/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
