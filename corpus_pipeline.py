@@ -7,16 +7,20 @@ the columns of docs; columns beside those that a stage works on go through uncha
   `least`: every function says that the text is of none of the languages learned.
 - quality: documents that the classifier rejects go (`predicted` is 0).
 - near_copies: of documents whose shingle sets link, directly or through others, the one with the smallest id stays; of
-  rows that share an id, one stays. Rows with a null id link with nothing and stay.
-- secrets: spans found are replaced by a mark; n_chars follows where a text changes.
+  rows that share an id, the one with the smallest text, then the smallest other columns. Rows with a null id link with nothing and stay.
+- secrets: spans found are replaced by a mark; n_chars follows where a text changes, and only there.
 - packing: the pieces of all that is left.
+
+Whole texts of any length are worked on, in windows or segments where they are long. Empty tables go through every stage and give empty ones. A
+column of docs may have any name, those of the stages' own results too: such columns go through as they came.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm import common, jaccard, langid, packing, quality, secretscan
 
@@ -41,15 +45,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = jaccard.join(docs)
     gone = told.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unknown)
+    left = known.join(gone, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), "doc_id")
+    others = [F.col("row")[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("row.text"), *others))
+    return left.withColumn("first", first).where("first = 1").select("row.*").unionByName(unknown)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secretscan.masked(docs)
+    rows = secretscan.masked(docs.select(F.struct(*docs.columns).alias("row"), "text"), changed="changed")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        found = F.instr("text", "[secret]") > 0
-        clean = clean.withColumn("n_chars", F.when(found, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean
+        new["n_chars"] = F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             back.append(b.hexdigest())
         return common.struct_array(KIND, n_tokens=n, ids_sha256=ids, decoded_sha256=back)
 
-    return docs.withColumn("__bpe", udf(F.col(text).cast("string"))).withColumns({k.name: F.col("__bpe")[k.name] for k in KIND}).drop("__bpe")
+    return common.widened(docs, udf(F.col(text).cast("string")), KIND.names)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

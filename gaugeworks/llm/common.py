@@ -12,9 +12,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.session import shared_dir
+
 #: Rows in one Arrow batch at most: texts can be long, and a worker holds a batch at a time.
 BATCH_ROWS = 512
 
@@ -44,20 +46,6 @@ def batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset, as in tests on one machine, a folder under /tmp is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path; later reads survive lost executors."""
     spark = df.sparkSession
@@ -81,6 +69,13 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def widened(docs: DataFrame, told: Column, names: list[str]) -> DataFrame:
+    """docs with the fields of the struct told, whatever docs' columns are called; one that has the name of a field is replaced."""
+    kept = [c for c in docs.columns if c not in names]
+    both = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), told.alias("told"))
+    return both.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col("told")[k].alias(k) for k in names])
+
+
 def struct_array(kind: pa.StructType, **columns) -> pa.Array:
     """A struct array with kind's fields out of lists or arrays."""
     return pa.StructArray.from_arrays([x if isinstance(x := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in kind], fields=list(kind))

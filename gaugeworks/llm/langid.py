@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         return common.struct_array(KIND, lang_pred=names, score=score, margin=margin)
 
     out = udf(F.col(text).cast("string"))
-    return docs.withColumn("__lang", out).withColumns({k: F.col("__lang")[k] for k in ("lang_pred", "score", "margin")}).drop("__lang")
+    return common.widened(docs, out, KIND.names)
 
 
 def held_out(id: str = "doc_id") -> Column:

@@ -208,4 +208,4 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
     def udf(t: pa.Array) -> pa.Array:
         return pa.array([scan_text(x, PHRASES, templates) for x in t.to_pylist()], KIND)
 
-    return docs.withColumn("__lic", udf(F.col(text).cast("string"))).withColumns({f.name: F.col("__lic")[f.name] for f in KIND}).drop("__lic")
+    return common.widened(docs, udf(F.col(text).cast("string")), KIND.names)

@@ -141,19 +141,22 @@ def _stretches(r: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base (spans of the base kinds) and found (all spans): arrays of (start, rank, end, kind)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("__assign", _found(t, ASSIGN, "assign", 2, 6)).withColumn("__access", _found(t, ACCESS, "access")).withColumn("__hex", _found(t, HEX, "hex")).withColumn("__run", _found(t, RUN, "entropy_hex"))
-    out = out.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    within = lambda r: F.exists("__base", lambda b: (b.start <= r.start) & (b.end >= r.end))
-    out = out.withColumn("__run", F.filter("__run", lambda r: ~r.found.rlike(UUID) & ~r.before.rlike(ALLOWED_BEFORE) & ~within(r)))
+    kept = [c for c in docs.columns if c not in ("base", "found")]
+    out = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), t.alias("t"))
+    t = F.col("t")
+    out = out.select("row", _found(t, ASSIGN, "assign", 2, 6).alias("assign"), _found(t, ACCESS, "access").alias("access"), _found(t, HEX, "hex").alias("hex"), _found(t, RUN, "entropy_hex").alias("run"))
+    out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    within = lambda r: F.exists("base", lambda b: (b.start <= r.start) & (b.end >= r.end))
+    out = out.withColumn("run", F.filter("run", lambda r: ~r.found.rlike(UUID) & ~r.before.rlike(ALLOWED_BEFORE) & ~within(r)))
     whole = lambda r: (F.char_length(r.found) <= LONGEST) & ~r.found.rlike(ALLOWED)
-    free = F.transform(F.filter("__run", whole), lambda r: F.struct(r.start.alias("start"), _kind_of(r.found).alias("rank"), r.end.alias("end"), r.found.alias("found")))
-    out = out.withColumn("__free", F.filter(free, lambda r: r["rank"].isNotNull()))
-    out = out.withColumn("__more", F.transform(F.filter("__free", lambda r: _scores(r.found, r["rank"])), lambda r: F.struct(r.start.alias("start"), r["rank"].alias("rank"), r.end.alias("end"))))
-    out = out.withColumn("__pieces", F.flatten(F.transform(F.filter("__run", lambda r: ~whole(r)), _stretches)))
-    out = out.withColumn("__more", F.concat("__more", F.filter("__pieces", lambda r: ~within(r))))
+    free = F.transform(F.filter("run", whole), lambda r: F.struct(r.start.alias("start"), _kind_of(r.found).alias("rank"), r.end.alias("end"), r.found.alias("found")))
+    out = out.withColumn("free", F.filter(free, lambda r: r["rank"].isNotNull()))
+    out = out.withColumn("more", F.transform(F.filter("free", lambda r: _scores(r.found, r["rank"])), lambda r: F.struct(r.start.alias("start"), r["rank"].alias("rank"), r.end.alias("end"))))
+    out = out.withColumn("pieces", F.flatten(F.transform(F.filter("run", lambda r: ~whole(r)), _stretches)))
+    out = out.withColumn("more", F.concat("more", F.filter("pieces", lambda r: ~within(r))))
     named = lambda a: F.transform(a, lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))
-    out = out.withColumn("base", named(F.col("__base"))).withColumn("found", F.array_sort(F.concat("base", named(F.col("__more")))))
-    return out.drop("__assign", "__access", "__hex", "__run", "__base", "__free", "__more", "__pieces")
+    out = out.withColumn("named", named(F.col("base"))).withColumn("found", F.array_sort(F.concat("named", named(F.col("more")))))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.col("named").alias("base"), "found")
 
 
 def digest(spans: Column) -> Column:
@@ -161,14 +164,14 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
-def masked(docs: DataFrame, text: str = "text", mark: str = "[secret]", block: int = 1 << 16) -> DataFrame:
+def masked(docs: DataFrame, text: str = "text", mark: str = "[secret]", block: int = 1 << 16, changed: str | None = None) -> DataFrame:
     """docs with every span found replaced by mark; the other columns as they are, and null texts stay null.
 
-    Overlapping spans become one mark. Texts are cut into blocks first, so that taking many
-    pieces out of a long text stays in proportion to its length.
+    Overlapping spans become one mark. Texts are cut into blocks first; each looks at all spans of its text. changed: a column
+    to add that tells whether a text has any.
     """
     names = docs.columns
-    out = scan(docs.select(F.struct(*names).alias("__row"), F.col(text).cast("string").alias("__t")), "__t")
+    out = scan(docs.select(F.struct(*names).alias("__row"), F.col(text).cast("string").alias("__t")), "__t")  # no name of docs stands beside these
     # spans merged to disjoint ones in order of start
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     last = lambda x: F.element_at(x, -1)
@@ -186,4 +189,5 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "[secret]", block: i
 
     clean = F.when(F.size("__cut") > 0, F.array_join(F.transform("__blocks", block_text), "")).otherwise(F.col("__t"))
     out = out.withColumn("__clean", clean)
-    return out.select(*[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in names])
+    told = [(F.size("__cut") > 0).alias(changed)] if changed else []
+    return out.select(*[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in names], *told)
