@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Metrics by the direction that is better.
 HIGHER = ("auc", "acc", "pr_auc", "r2")
 LOWER = ("log_loss", "brier", "ece", "rmse", "mae", "crps_gaussian")
-#: Primary and proper metric by task.
+#: Primary and proper metric by task, and what stands in for one that is missing.
 PRIMARY = {"classification": "auc", "regression": "rmse"}
 PROPER = {"classification": "log_loss", "regression": "crps_gaussian"}
 FALLBACK = {"crps_gaussian": "mae"}
@@ -29,6 +29,17 @@ def oriented(metric: str, value: Column) -> Column:
     return known(value) if metric in HIGHER else -known(value)
 
 
+def task_group(task_type: Column) -> Column:
+    return F.when(task_type == "regression", "regression").otherwise("classification")
+
+
+def score_of(task_type: Column, names: dict[str, str]) -> Column:
+    """The oriented value of the metric that `names` has for the task's group, from columns of the metrics' names; the fallback where it is missing."""
+    group = task_group(task_type)
+    value = lambda m: F.coalesce(oriented(m, F.col(m)), *[oriented(f, F.col(f)) for f in [FALLBACK.get(m)] if f])
+    return F.when(group == "regression", value(names["regression"])).otherwise(value(names["classification"]))
+
+
 def family(dataset: Column) -> Column:
     return F.split_part(dataset, F.lit(":"), F.lit(1))
 
@@ -51,7 +62,10 @@ def draw(n: Column, *key: Column | str | int) -> Column:
 
 
 def erf(x: Column) -> Column:
-    """The error function by a series of positive terms, exp(-x^2) * sum of x^(2n+1) / gamma(n + 3/2); 1 or -1 beyond 5."""
+    """The error function by a series of positive terms, exp(-x^2) * sum of x^(2n+1) / gamma(n + 3/2); 1 or -1 beyond 5.
+
+    x stands some hundred times in the result: give a column, not an expression, so that it is computed once.
+    """
     a = F.lit(1.0)
     # Horner's scheme from the last term: built-in arithmetic, so it stays in generated code
     for n in range(70, 0, -1):
@@ -64,7 +78,7 @@ def normal_cdf(z: Column) -> Column:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) by the complement; for large z by a continued fraction, which keeps its relative precision."""
+    """P(Z > z) by the complement; for large z by a continued fraction, which keeps its relative precision. z: a column, as for erf."""
     b = F.lit(0.0)
     for k in range(40, 0, -1):
         b = F.lit(float(k)) / (z + b)

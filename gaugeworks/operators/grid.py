@@ -39,8 +39,8 @@ def coverage(cells: DataFrame) -> DataFrame:
 
 
 def incomplete(cells: DataFrame) -> DataFrame:
-    """(model, dataset, protocol, status, seeds): what is not ok, seeds sorted."""
-    return cells.where(bucket(F.col("status")) != "ok").groupBy("model", "dataset", "protocol", "status").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
+    """(model, dataset, protocol, status, seeds): what is not ok, seeds sorted, as often as they occur."""
+    return cells.where(bucket(F.col("status")) != "ok").groupBy("model", "dataset", "protocol", "status").agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
 
 
 def skip_reasons(cells: DataFrame) -> DataFrame:
@@ -54,23 +54,26 @@ def outside(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.alias("r").join(F.broadcast(allowed.alias("a")), fits[0] & fits[1] & fits[2], "left_anti")
 
 
-#: What systems can take, as (model, regression, tuned, features, rows, classes); null is unlimited.
+#: What systems can take, as (model, kind, regression, tuned, features, rows, classes); null is unlimited.
 CAPS = (
-    ("tabpfn3", True, False, 2000, 50000, 160), ("tabpfn25", True, False, 2000, 50000, 10), ("tabpfnv2", True, False, 500, 10000, 10), ("tabicl", False, False, None, 50000, None), ("mitra", True, False, None, 5000, 10),
-    ("catboost_tuned", True, True, None, None, None), ("xgboost_tuned", True, True, None, None, None), ("lightgbm_tuned", True, True, None, None, None), ("realmlp", True, True, None, None, None), ("tabm", True, True, None, None, None),
+    ("tabpfn3", "tfm", True, False, 2000, 50000, 160), ("tabpfn25", "tfm", True, False, 2000, 50000, 10), ("tabpfnv2", "tfm", True, False, 500, 10000, 10), ("tabicl", "tfm", False, False, None, 50000, None), ("mitra", "tfm", True, False, None, 5000, 10),
+    ("catboost_tuned", "gbdt", True, True, None, None, None), ("xgboost_tuned", "gbdt", True, True, None, None, None), ("lightgbm_tuned", "gbdt", True, True, None, None, None), ("realmlp", "nn", True, True, None, None, None), ("tabm", "nn", True, True, None, None, None),
 )
 
 
 def caps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAPS, "model string, regression boolean, tuned boolean, max_features int, max_rows int, max_classes int")
+    """The table of limits; max_cells (rows after the row limit times features) is off, null, unless set."""
+    known = spark.createDataFrame(CAPS, "model string, kind string, regression boolean, tuned boolean, max_features int, max_rows int, max_classes int")
+    return known.withColumn("max_cells", F.lit(None).cast("long"))
 
 
 def capability(requests: DataFrame, known: DataFrame, pareto_protocol: str = "pareto_hpo") -> DataFrame:
-    """requests (model, protocol, task_type, n_features, n_rows, n_classes) with skip_reason, the first that holds, and support_rows, cut to the system's rows."""
+    """requests (model, protocol, task_type, n_features, n_rows, n_classes) with kind, skip_reason, the first that holds, and support_rows, cut to the system's rows."""
     r = requests.join(F.broadcast(known.withColumn("known", F.lit(True))), "model", "left")
-    reg = F.col("task_type") == "regression"
+    reg, support = F.col("task_type") == "regression", F.least("n_rows", "max_rows")
     reason = (
         F.when(F.col("known").isNull(), "unknown_model").when(reg & ~F.col("regression"), "no_regression").when(F.col("n_features") > F.col("max_features"), "feature_cap").when(~reg & (F.col("n_classes") > F.col("max_classes")), "class_cap")
+        .when(support.cast("long") * F.col("n_features") > F.col("max_cells"), "cell_cap")
         .when((F.col("protocol") == pareto_protocol) & ~F.col("tuned"), "pareto_tunable_only").when((F.col("protocol") == pareto_protocol) & reg, "no_pareto_for_regression")
     )
-    return r.select(*requests.columns, reason.alias("skip_reason"), F.least("n_rows", "max_rows").alias("support_rows"))
+    return r.select(*requests.columns, "kind", reason.alias("skip_reason"), support.alias("support_rows"))

@@ -11,36 +11,53 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.scalars import EPS, bin_of, normal_cdf
 
 
-def ranking(p: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """(keys, auc, pr_auc): area under the ROC curve with ties, null for one class; average precision over distinct scores, null without positives."""
-    tied = p.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(*keys).orderBy("s")
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    neg = F.col("n") - F.col("pos")
-    t = tied.withColumn("below", F.sum(neg).over(up) - neg).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
-    pos, all_ = F.sum("pos"), F.sum("n")
-    return t.groupBy(*keys).agg(
+def _swept(tied: DataFrame, keys: list[str]) -> DataFrame:
+    """tied (keys, s, pos, n) with below, the negatives of lower scores, and tp and seen, the positives and rows of this score or higher: one sort for all."""
+    part = Window.partitionBy(*keys)
+    up, pos, n = part.orderBy("s"), F.col("pos"), F.col("n")
+    t = tied.withColumn("__p", F.sum(pos).over(up)).withColumn("__n", F.sum(n).over(up)).withColumn("__ap", F.sum(pos).over(part)).withColumn("__an", F.sum(n).over(part))
+    return t.withColumn("below", F.col("__n") - n - (F.col("__p") - pos)).withColumn("tp", F.col("__ap") - F.col("__p") + pos).withColumn("seen", F.col("__an") - F.col("__n") + n)
+
+
+def _tied(p: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    return p.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
+
+
+def _areas() -> list[Column]:
+    """auc and pr_auc over swept rows."""
+    pos, all_, neg = F.sum("pos"), F.sum("n"), F.col("n") - F.col("pos")
+    return [
         F.when((pos > 0) & (pos < all_), F.sum(F.col("pos") * (F.col("below") + neg / 2)) / (pos * (all_ - pos))).alias("auc"),
         F.when(pos > 0, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / pos).alias("pr_auc"),
-    )
+    ]
+
+
+def ranking(p: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    """(keys, auc, pr_auc): area under the ROC curve with ties, null for one class; average precision over distinct scores, null without positives."""
+    return _swept(_tied(p, keys, y, score), keys).groupBy(*keys).agg(*_areas())
 
 
 def calibration_error(p: DataFrame, keys: list[str], conf: Column, right: Column, bins: int = 15) -> DataFrame:
     """(keys, ece): over bins, the share of all rows times the distance of accuracy and mean confidence."""
-    b = p.select(*keys, conf.alias("c"), right.cast("double").alias("r")).withColumn("b", bin_of(F.col("c"), bins))
+    b = p.select(*keys, conf.alias("c"), right.cast("double").alias("r")).withColumn("b", bin_of(F.col("c"), bins))  # c is computed once
     per = b.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum("c").alias("c"))
     return per.groupBy(*keys).agg((F.sum(F.when(F.col("b").isNotNull(), F.abs(F.col("r") - F.col("c"))).otherwise(0.0)) / F.sum("n")).alias("ece"))
 
 
-def binary(p: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, auc, acc, log_loss, brier, pr_auc, ece) of binary predictions (y, score: probability of 1)."""
-    s, y = F.col("score"), F.col("y")
-    right = F.when(s > 0.5, 1).otherwise(0) == y
-    own = F.when(y == 1, s).otherwise(1 - s)
-    plain = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("acc"), F.avg(-F.log(F.greatest(F.least(own, F.lit(1 - EPS)), F.lit(EPS)))).alias("log_loss"), F.avg(2 * (s - y) * (s - y)).alias("brier"),
-    )
-    return plain.join(ranking(p, keys), keys).join(calibration_error(p, keys, F.greatest(s, 1 - s), right), keys).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
+def binary(p: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
+    """(keys, n, auc, acc, log_loss, brier, pr_auc, ece) of binary predictions (y, score: probability of 1).
+
+    All of them are sums over the counts of equal scores: the predictions are read once.
+    """
+    s, pos, n = F.col("s"), F.col("pos"), F.col("n")
+    t = _swept(_tied(p, keys), keys).withColumn("right", F.when(s > 0.5, pos).otherwise(n - pos)).withColumn("conf", F.greatest(s, 1 - s))
+    t = t.withColumn("bin", bin_of(F.col("conf"), bins)).withColumn("off", F.col("right") - n * F.col("conf"))
+    log = lambda q: -F.log(F.greatest(F.least(q, F.lit(1 - EPS)), F.lit(EPS)))
+    error = sum((F.abs(F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("off"))), F.lit(0.0))) for k in range(bins)), F.lit(0.0))
+    return t.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *_areas(), (F.sum("right") / F.sum("n")).alias("acc"), (F.sum(pos * log(s) + (n - pos) * log(1 - s)) / F.sum("n")).alias("log_loss"),
+        (F.sum(2 * (pos * (1 - s) * (1 - s) + (n - pos) * s * s)) / F.sum("n")).alias("brier"), (error / F.sum("n")).alias("ece"),
+    ).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
 
 
 def softmax(raw: Column, classes: int) -> Column:
@@ -82,22 +99,28 @@ def multiclass(p: DataFrame, keys: list[str], classes: int) -> DataFrame:
     return out.withColumn("auc", F.when(F.col("seen") == classes, F.col("auc"))).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
 
 
-def crps(y: Column, mu: Column, sigma: Column) -> Column:
-    """Continuous ranked probability score of a normal forecast, sigma at least 1e-9; null without sigma."""
+def crps(z: Column, sigma: Column) -> Column:
+    """Continuous ranked probability score of a normal forecast in units of z = (y - mu) / sigma, sigma at least 1e-9; null without sigma. z: a column."""
     s = F.greatest(sigma, F.lit(1e-9))
-    z = (y - mu) / s
     return F.when(sigma.isNotNull(), s * (z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi)))
 
 
 def regression(p: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, rmse, mae, r2, crps_gaussian, has_predictive_sigma) of predictions (y, pred, sigma)."""
     y, m = F.col("y"), F.col("pred")
+    # z in a column of its own, and scaled for the error function there, so that neither is computed for each term
+    p = p.select(*keys, "y", "pred", "sigma", ((y - m) / F.greatest(F.col("sigma"), F.lit(1e-9))).alias("__z"))
     return p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((y - m) * (y - m))).alias("rmse"), F.avg(F.abs(y - m)).alias("mae"),
-        (1 - F.sum((y - m) * (y - m)) / (F.var_pop(y) * F.count(y) + 1e-12)).alias("r2"), F.avg(crps(y, m, F.col("sigma"))).alias("crps_gaussian"), (F.count("sigma") > 0).alias("has_predictive_sigma"),
+        (1 - F.sum((y - m) * (y - m)) / (F.var_pop(y) * F.count(y) + 1e-12)).alias("r2"), F.avg(crps(F.col("__z"), F.col("sigma"))).alias("crps_gaussian"), (F.count("sigma") > 0).alias("has_predictive_sigma"),
     )
 
 
+def test_score(task_type: Column) -> Column:
+    """The score that a search is judged by on test rows: AUC, or RMSE with its sign turned."""
+    return F.when(task_type == "regression", -F.col("rmse")).otherwise(F.col("auc"))
+
+
 def reliability(p: DataFrame, keys: list[str], bins: int = 12, least: int = 5) -> DataFrame:
     """(keys, bin, n, mean_conf, mean_acc) of bins with `least` rows or more, from binary predictions."""
     s = F.col("score")

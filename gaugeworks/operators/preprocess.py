@@ -41,9 +41,28 @@ def onehot(rows: DataFrame, column: str, fold: str = "fold", out: str | None = N
 
 
 def labels(rows: DataFrame, column: str, fold: str = "fold", out: str = "y") -> DataFrame:
-    """rows with class labels from 0; a label that training doesn't have is an error."""
+    """rows with class labels from 0. A label that training doesn't have is an error, raised here by a count, whatever is selected later."""
     coded = ordinal(rows, column, fold, out)
-    return coded.withColumn(out, F.when(F.col(out) < 0, F.raise_error(F.concat(F.lit("label not in training data: "), F.col(column).cast("string"))).cast("int")).otherwise(F.col(out)))
+    unknown = coded.where(F.col(out) < 0).select(column).limit(1).collect()
+    if unknown:
+        raise ValueError(f"label not in training data: {unknown[0][0]}")
+    return coded
+
+
+def columns(rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """(name, kind, place) of the feature columns in the order in which learners get them: numeric ones, then categorical ones."""
+    lost = [c for c in (*numeric, *categorical) if c not in rows.columns]
+    if lost:
+        raise ValueError(f"no such columns: {lost}")
+    told = [(c, kind, k) for k, (c, kind) in enumerate([*[(c, "numeric") for c in numeric], *[(c, "categorical") for c in categorical]])]
+    return rows.sparkSession.createDataFrame(told, "name string, kind string, place int")
+
+
+def native_categories(rows: DataFrame, categorical: list[str], fold: str = "fold") -> DataFrame:
+    """rows with category codes as strings of whole numbers, for learners that take categories as they are; unseen ones are -1."""
+    for c in categorical:
+        rows = ordinal(rows, c, fold, "__own").withColumn(c, F.col("__own").cast("string")).drop("__own")
+    return rows
 
 
 def standardise_target(rows: DataFrame, y: str, fold: str = "fold") -> DataFrame:

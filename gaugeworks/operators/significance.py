@@ -67,8 +67,8 @@ def pairs(grid: DataFrame) -> DataFrame:
     return a.join(b, "dataset").where("a < b").select("a", "b", "dataset", (F.col("sa") - F.col("sb")).alias("d"))
 
 
-def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, n_nonzero, w_plus, p_two, p_greater) of paired differences d.
+def wilcoxon(diffs: DataFrame, keys: list[str], keep_z: bool = False) -> DataFrame:
+    """(keys, n, n_nonzero, w_plus, p_two, p_greater) of paired differences d; keep_z adds the normal form's z.
 
     Zeros are dropped. The null distribution is exact if nothing was dropped, no ranks tie and n is 50 at most; else normal, with tie correction and
     without continuity correction. No differences left: 1.
@@ -87,11 +87,13 @@ def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
     above, below = tail(lambda v, i: i >= F.col("w_plus")), tail(lambda v, i: i <= F.col("w_plus"))
     mean = F.col("__k") * (F.col("__k") + 1) / 4.0
     sd = F.sqrt((F.col("__k") * (F.col("__k") + 1) * (2 * F.col("__k") + 1) - F.col("__tt") / 2.0) / 24.0)
-    z = (F.col("w_plus") - mean) / sd
-    one = F.when(z >= 0, normal_tail(F.abs(z))).otherwise(1 - normal_tail(F.abs(z)))
+    out = out.withColumn("__z", (F.col("w_plus") - mean) / sd).withColumn("__a", F.abs("__z"))
+    z = F.col("__z")
+    far = normal_tail(F.col("__a"))
+    one = F.when(z >= 0, far).otherwise(1 - far)
     p_greater = F.when(F.col("__k") == 0, 1.0).when(exact, above).otherwise(one)
-    p_two = F.when(F.col("__k") == 0, 1.0).when(exact, F.least(F.lit(1.0), 2 * F.least(above, below))).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))))
-    return out.select(*keys, "n", F.col("__k").alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p_two.alias("p_two"), p_greater.alias("p_greater"))
+    p_two = F.when(F.col("__k") == 0, 1.0).when(exact, F.least(F.lit(1.0), 2 * F.least(above, below))).otherwise(F.least(F.lit(1.0), 2 * far))
+    return out.select(*keys, "n", F.col("__k").alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p_two.alias("p_two"), p_greater.alias("p_greater"), *([z.alias("z")] if keep_z else []))
 
 
 def holm(rows: DataFrame, p: str, tie: list[str], out: str = "holm_p", by: list[str] | None = None) -> DataFrame:
@@ -159,5 +161,6 @@ def kendall(rows: DataFrame, keys: list[str], x: str, y: str, item: str = "model
     shares = F.aggregate(F.sequence(F.lit(2), n), start, lambda c, j: F.transform(c, lambda v, i: F.aggregate(F.slice(c, F.greatest(i - j + 1, F.lit(0)) + 1, F.least(j, i + 1)), F.lit(0.0), lambda s, u: s + u) / j))
     least = F.least((F.col("m") - F.col("s")) / 2, (F.col("m") + F.col("s")) / 2)
     exact = F.least(F.lit(1.0), 2 * F.aggregate(F.filter(shares, lambda v, i: i <= least), F.lit(0.0), lambda s, u: s + u))
-    z = F.abs(F.col("s")) / F.sqrt(n * (n - 1) * (2 * n + 5) / 18.0)
+    stat = stat.withColumn("__z", F.abs(F.col("s")) / F.sqrt(n * (n - 1) * (2 * n + 5) / 18.0))
+    z = F.col("__z")
     return stat.select(*keys, "n_items", tau.alias("tau"), F.when(tau.isNull(), None).when(free, exact).otherwise(F.least(F.lit(1.0), 2 * normal_tail(z))).alias("tau_p"))

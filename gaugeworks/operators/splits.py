@@ -12,30 +12,52 @@ def key(seed: int | str, row: str) -> Column:
 
 def strata(rows: DataFrame, y: str, bins: int = 10, out: str = "stratum") -> DataFrame:
     """rows with quantile bins of y (right-closed, the lowest edge included, equal edges once); as many as there are distinct values at most."""
-    q = rows.agg(F.least(F.lit(bins), F.count_distinct(y)).alias("q"), F.percentile(y, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("e"), *[F.percentile(y, F.array(*[F.lit(k / n) for k in range(n + 1)])).alias(f"e{n}") for n in range(1, bins)])
-    edges = F.array_distinct(F.coalesce(*[F.when(F.col("q") == n, F.col(f"e{n}")) for n in range(1, bins)], F.col("e")))
-    e = q.select(edges.alias("__e"))
+    few = rows.select(y).where(F.col(y).isNotNull()).distinct().limit(bins).count()
+    q = max(1, min(bins, few))
+    e = rows.agg(F.array_distinct(F.percentile(y, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("__e"))
     return rows.crossJoin(F.broadcast(e)).withColumn(out, F.greatest(F.size(F.filter("__e", lambda x: x < F.col(y))) - 1, F.lit(0))).drop("__e")
 
 
-def holdout(rows: DataFrame, stratum: str, row: str, seed: int, train: float = 0.64, val: float = 0.16) -> DataFrame:
-    """rows with fold: of each stratum the first share in md5 order is train, the next val, the rest test."""
-    part = Window.partitionBy(stratum)
-    at = F.row_number().over(part.orderBy(key(seed, row), row))
-    n = F.count(F.lit(1)).over(part)
-    return rows.withColumn("__at", at).withColumn("__n", n).withColumn("fold", F.when(F.col("__at") <= F.round(F.col("__n") * train), "train").when(F.col("__at") <= F.round(F.col("__n") * (train + val)), "val").otherwise("test")).drop("__at", "__n")
+def places(rows: DataFrame, by: str, row: str, seed: int | str, at: str = "__at", n: str = "__n") -> DataFrame:
+    """rows with the place of each, from 1, in its group's md5 order, and the group's size.
+
+    Counts of the first 16 bits tell how many rows come before each bucket; only a bucket's rows are sorted together, so that a group may hold any share of the rows.
+    """
+    r = rows.withColumn("__k", key(seed, row)).withColumn("__b", F.conv(F.substring("__k", 1, 4), 16, 10).cast("int"))
+    sizes = r.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(by)
+    sizes = sizes.select(F.col(by).alias("__by"), F.col("__b").alias("__bb"), (F.sum("__c").over(group.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(group).alias(n))
+    r = r.join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__b") == F.col("__bb")))
+    return r.withColumn(at, F.col("__before") + F.row_number().over(Window.partitionBy(by, "__b").orderBy("__k", row))).drop("__k", "__b", "__by", "__bb", "__before")
+
+
+def holdout(rows: DataFrame, y: str, row: str, seed: int, train: float = 0.64, val: float = 0.16, continuous: bool = False) -> DataFrame:
+    """rows with fold, cut twice: a share of each stratum is train; the remainder's strata, derived anew, are cut into val and test.
+
+    Strata are the values of y or, if it is continuous, its quantile bins. Rows come in md5 order.
+    """
+    cut = lambda r, share, *names: places(strata(r, y, out="__s") if continuous else r.withColumn("__s", F.col(y)), "__s", row, seed).withColumn("fold", F.when(F.col("__at") <= F.round(F.col("__n") * share), names[0]).otherwise(names[1])).drop("__at", "__n", "__s")
+    first = cut(rows, train, "train", "rest")
+    rest = cut(first.where("fold = 'rest'").drop("fold"), val / (1 - train), "val", "test")
+    return first.where("fold = 'train'").unionByName(rest)
 
 
 def folds(rows: DataFrame, stratum: str, row: str, seed: int, k: int = 5) -> DataFrame:
-    return rows.withColumn("inner_fold", F.pmod(F.row_number().over(Window.partitionBy(stratum).orderBy(key(seed, row), row)) - 1, F.lit(k)))
+    return places(rows, stratum, row, seed).withColumn("inner_fold", F.pmod(F.col("__at") - 1, F.lit(k)).cast("int")).drop("__at", "__n")
 
 
 def carve(rows: DataFrame, stratum: str, row: str, seed: int, share: float = 0.15) -> DataFrame:
     """rows with early_stop: a share of each stratum; where any stratum has fewer than two rows, of all rows alike."""
     small = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") < 2).alias("plain"))
     r = rows.crossJoin(F.broadcast(small)).withColumn("__s", F.when(~F.col("plain"), F.col(stratum).cast("string")).otherwise("all"))
-    part = Window.partitionBy("__s")
-    return r.withColumn("early_stop", F.row_number().over(part.orderBy(key(seed, row), row)) <= F.round(F.count(F.lit(1)).over(part) * share)).drop("__s", "plain")
+    return places(r, "__s", row, seed).withColumn("early_stop", F.col("__at") <= F.round(F.col("__n") * share)).drop("__s", "plain", "__at", "__n")
+
+
+def honoured(rows: DataFrame, made: DataFrame, row: str, shipped: str = "fold") -> DataFrame:
+    """rows with fold: the shipped one where there is any for all rows, else that of `made` (row, fold)."""
+    whole = F.broadcast(rows.agg((F.count(shipped) == F.count(F.lit(1))).alias("__whole")))  # one row
+    own = rows.withColumnRenamed(shipped, "__shipped").join(made.select(row, F.col("fold").alias("__made")), row).crossJoin(whole)
+    return own.withColumn("fold", F.when(F.col("__whole"), F.col("__shipped")).otherwise(F.col("__made"))).drop("__shipped", "__made", "__whole")
 
 
 def temporal(rows: DataFrame, when: str, train: float = 0.64, val: float = 0.16) -> DataFrame:

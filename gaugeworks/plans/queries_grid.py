@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import family, unit
-from gaugeworks.operators import charts, gate, grid
-from gaugeworks.session import table
+from gaugeworks.operators import charts, gate, grid, jobs, resample
+from gaugeworks.session import stored, table
 
 from .derived import CELLS, ENV, derived, duck
+from .queries_stats import SEED, B, boot_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 C = duck(CELLS)
 _BUCKET = "CASE WHEN status = 'ok' THEN 'ok' WHEN starts_with(status, 'error:') THEN 'error' ELSE 'skip' END"
+_UNIT = "dataset || '__' || protocol || '__' || model || '__seed' || seed"
 _FAM = "split_part(dataset, ':', 1)"
 
 
@@ -38,7 +40,7 @@ def coverage_table(spark, sf_dir):
     return grid.coverage(cells(spark, sf_dir))
 
 
-@query(f"WITH c AS ({C}) SELECT model, dataset, protocol, status, array_to_string(list_sort(list(DISTINCT seed)), ',') AS seeds FROM c WHERE status <> 'ok' GROUP BY ALL")
+@query(f"WITH c AS ({C}) SELECT model, dataset, protocol, status, array_to_string(list_sort(list(seed)), ',') AS seeds FROM c WHERE status <> 'ok' GROUP BY ALL")
 def incomplete_cells(spark, sf_dir):
     return grid.incomplete(cells(spark, sf_dir)).withColumn("seeds", F.array_join(F.transform("seeds", lambda s: s.cast("string")), ","))
 
@@ -86,10 +88,8 @@ def allowlist_anti(spark, sf_dir):
     return grid.outside(cells(spark, sf_dir).where("status <> 'ok'").select("row_id", "dataset", "model", "protocol", "status"), _allowed(spark))
 
 
-_UNIT = "dataset || '__' || protocol || '__' || model || '__seed' || seed"
-
 
-@query(f"""WITH c AS ({C}), m AS (SELECT *, {_UNIT} AS unit FROM c), l AS (SELECT leg, list(DISTINCT unit) AS units FROM m WHERE row_id % 5 <> 0 GROUP BY leg), d AS (SELECT leg AS run_started, unnest(units) AS unit FROM l),
+@query(f"""WITH c AS ({C}), m AS (SELECT *, {_UNIT} AS unit FROM c), l AS (SELECT leg, list(DISTINCT unit) AS units FROM m WHERE row_id % 5 <> 0 AND leg <> '4-NOT SPECIFIED' GROUP BY leg), d AS (SELECT leg AS run_started, unnest(units) AS unit FROM l),
 o AS (SELECT count(*) AS n FROM (SELECT DISTINCT unit FROM d) x WHERE x.unit NOT IN (SELECT unit FROM m WHERE row_id % 7 <> 0)),
 r AS (SELECT (SELECT count(*) FROM l) AS n_legs, (SELECT count(*) FROM l WHERE leg = '5-LOW') AS resumed, 1 AS hosts, (SELECT count(*) FROM (SELECT unit FROM m WHERE row_id % 7 <> 0 GROUP BY unit HAVING count(*) > 1)) AS twice,
 (SELECT count(*) FROM m WHERE row_id % 7 <> 0 AND starts_with(status, 'skip')) AS skips, (SELECT count(*) FROM m WHERE row_id % 7 <> 0 AND leg NOT IN (SELECT leg FROM l)) AS undeclared,
@@ -99,7 +99,7 @@ SELECT 'A1' AS id, n_legs >= 1 AND resumed = 0 AND hosts = 1 AND twice = 0 AND s
 concat('n_legs=', n_legs, ', resumed=', resumed, ', hosts=', hosts, ', twice=', twice, ', skips=', skips, ', undeclared=', undeclared, ', orphaned=', orphaned, ', superseded=', superseded) AS message FROM r""")
 def gate_a1(spark, sf_dir):
     m = cells(spark, sf_dir).withColumn("unit", unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed"))).withColumn("started", F.col("leg"))
-    legs = m.where("row_id % 5 <> 0").groupBy(F.col("leg").alias("run_started")).agg(F.collect_set("unit").alias("units")).withColumns({"hostname": F.lit("h"), "no_resume": F.col("run_started") != "5-LOW"})
+    legs = m.where("row_id % 5 <> 0 and leg <> '4-NOT SPECIFIED'").groupBy(F.col("leg").alias("run_started")).agg(F.collect_set("unit").alias("units")).withColumns({"hostname": F.lit("h"), "no_resume": F.col("run_started") != "5-LOW"})
     return gate.provenance(m.where("row_id % 7 <> 0"), legs, _allowed(spark))
 
 
@@ -109,9 +109,10 @@ def gate_b1(spark, sf_dir):
     return gate.independent(spark.createDataFrame([("a", ["f0", "zz"]), ("b", ["f2"]), ("c", ["zz"])], "id string, independent_datasets array<string>"), cells(spark, sf_dir))
 
 
-@query(f"WITH c AS ({C}) SELECT 'C1' AS id, count_if(status = 'ok') > 0 AS passed, concat(count_if(status = 'ok'), ' cells with ece') AS message FROM c")
+@query(f"WITH c AS ({C}) SELECT 'C1' AS id, count_if(status = 'ok' AND row_id % 5 > 0) > 0 AS passed, concat(count_if(status = 'ok' AND row_id % 5 > 0), ' cells with ece') AS message FROM c")
 def gate_c1(spark, sf_dir):
-    return gate.metric_present(cells(spark, sf_dir).withColumn("ece", F.when(F.col("status") == "ok", 0.1)), "ece", "C1")
+    known = (F.col("status") == "ok") & (F.col("row_id") % 5 > 0)
+    return gate.metric_present(cells(spark, sf_dir).withColumn("metrics", F.struct(F.when(known, F.col("row_id") / 1000).alias("ece"))), "ece", "C1")
 
 
 @query(f"""WITH c AS ({C}), t AS (SELECT status, count(*) AS n FROM c WHERE starts_with(status, 'skipped_missing_backend') GROUP BY status)
@@ -120,7 +121,7 @@ def gate_f1(spark, sf_dir):
     return gate.backends(cells(spark, sf_dir))
 
 
-@query(f"WITH e AS ({duck(ENV)}) SELECT 'F2' AS id, count(DISTINCT host) = 1 AND count(DISTINCT code_sha256) <= 1 AND count(DISTINCT prefix) = 1 AND count_if(prefix IS NULL) = 0 AS passed, concat('hosts=', count(DISTINCT host), ', codes=', count(DISTINCT code_sha256), ', prefixes=', count(DISTINCT prefix), ', unstamped=', count_if(prefix IS NULL), ', unhashed=', count_if(code_sha256 IS NULL)) AS message FROM e")
+@query(f"WITH e AS ({duck(ENV)}) SELECT 'F2' AS id, count(DISTINCT host) = 1 AND count(DISTINCT code_sha256) <= 1 AND count(DISTINCT prefix) = 1 AND count_if(prefix IS NULL) = 0 AS passed, concat('hosts=', count(DISTINCT host), ', codes=', count(DISTINCT code_sha256), ', prefixes=', count(DISTINCT prefix), ', unstamped=', count_if(prefix IS NULL), ' (', round(100e0 * count_if(prefix IS NULL) / count(*), 1), '%), unhashed=', count_if(code_sha256 IS NULL), ' (', round(100e0 * count_if(code_sha256 IS NULL) / count(*), 1), '%)') AS message FROM e")
 def gate_f2(spark, sf_dir):
     return gate.homogeneous(derived(spark, sf_dir, ENV))
 
@@ -130,9 +131,40 @@ def gate_f3(spark, sf_dir):
     return gate.alive(cells(spark, sf_dir))
 
 
-@query(f"WITH c AS ({C}), x AS (SELECT * FROM c WHERE starts_with(status, 'error:') AND NOT EXISTS (SELECT 1 FROM {_ALLOW_SQL} a WHERE (a.model IS NULL OR a.model = c.model) AND (a.dataset IS NULL OR a.dataset = c.dataset) AND (a.protocol IS NULL OR a.protocol = c.protocol))) SELECT 'G1' AS id, count(*) = 0 AS passed, concat(count(*), ' undocumented failures') AS message FROM x")
+_COVERED = f"EXISTS (SELECT 1 FROM {_ALLOW_SQL} a WHERE (a.model IS NULL OR a.model = c.model) AND (a.dataset IS NULL OR a.dataset = c.dataset) AND (a.protocol IS NULL OR a.protocol = c.protocol))"
+
+
+@query(f"""WITH c AS ({C}), m AS (SELECT {_UNIT} AS unit, dataset, protocol, model, CASE WHEN row_id % 11 = 0 THEN 'fail' ELSE 'ok' END AS status FROM c WHERE row_id % 7 <> 0), lm AS (SELECT unit || '[' || status || ']' AS u FROM m c WHERE status <> 'ok' AND NOT {_COVERED}),
+lr AS (SELECT dataset || ' x ' || model || ' [' || status || ']' AS k, count(*) AS n FROM c WHERE starts_with(status, 'error:') AND NOT {_COVERED} GROUP BY ALL), t AS (SELECT (SELECT count(*) FROM lm) AS m, (SELECT coalesce(sum(n), 0) FROM lr) AS r)
+SELECT 'G1' AS id, m = 0 AND r = 0 AS passed, concat_ws(' | ', CASE WHEN m > 0 THEN concat(m, ' of the manifest: ', (SELECT array_to_string(list_sort(list(u))[1:3], ', ') FROM lm)) END, CASE WHEN r > 0 THEN concat(r, ' of the records: ', (SELECT string_agg(concat(k, ' x', n), '; ' ORDER BY n DESC, k) FROM (SELECT * FROM lr ORDER BY n DESC, k LIMIT 4))) END) AS message FROM t""")
 def gate_g1(spark, sf_dir):
-    return gate.documented(cells(spark, sf_dir), _allowed(spark))
+    c = cells(spark, sf_dir)
+    m = c.where("row_id % 7 <> 0").select(unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")).alias("unit"), "dataset", "protocol", "model", F.when(F.col("row_id") % 11 == 0, "fail").otherwise("ok").alias("status"))
+    return gate.documented(m, c, _allowed(spark))
+
+
+@query("SELECT 'A0' AS id, false AS passed, 'colour; claims is off; entry 1 has no reason' AS message")
+def gate_a0(spark, sf_dir):
+    given = {"claims": False, "colour": 1, "allowlist": [{"model": "m1", "reason": "memory"}, {"model": "m2"}]}
+    return gate.config(spark, given, set(gate.KEYS), {"claims"})
+
+
+@query(f"WITH c AS ({C}) SELECT 'D1' AS id, count_if(status = 'ok' AND row_id % 3 = 0) > 0 AS passed, concat(count_if(status = 'ok' AND row_id % 3 = 0), ' cells with optimism_gap') AS message FROM c")
+def gate_d1(spark, sf_dir):
+    """Some gaps stand among the metrics, some beside them."""
+    some = F.when((F.col("status") == "ok") & (F.col("row_id") % 3 == 0), F.col("row_id") / 100)
+    inside = F.col("row_id") % 2 == 0
+    return gate.metric_present(cells(spark, sf_dir).withColumns({"metrics": F.struct(F.when(inside, some).alias("optimism_gap")), "optimism_gap": F.when(~inside, some)}), "optimism_gap", "D1")
+
+
+@query("SELECT 'E1' AS id, false AS passed, 'no_such_table.parquet' AS message")
+def gate_e1(spark, sf_dir):
+    return gate.artifacts(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/no_such_table.parquet"]).withColumn("message", F.element_at(F.split("message", "/"), -1))
+
+
+@query(f"""WITH e AS ({duck(ENV)}), s AS (SELECT unnest([{{'what': 'host', 'value': host}}, {{'what': 'code_sha256', 'value': code_sha256}}, {{'what': 'prefix', 'value': prefix}}]) AS s FROM e) SELECT s.what AS what, s.value AS value, count(*) AS n FROM s GROUP BY ALL""")
+def environment_stamps(spark, sf_dir):
+    return gate.stamps(derived(spark, sf_dir, ENV))
 
 
 @query(f"WITH c AS ({C}) SELECT 'H1' AS id, count_if(status = 'ok' AND row_id % 97 = 0) = 0 AS passed, concat(count_if(status = 'ok' AND row_id % 97 = 0), ' reduced') AS message FROM c")
@@ -142,8 +174,8 @@ def gate_h1(spark, sf_dir):
 
 @query("""WITH r AS (SELECT o_orderkey, (['tabpfnv2', 'tabicl', 'mitra', 'catboost_tuned', 'other', 'tabpfn25'])[o_orderkey % 6 + 1] AS model, CASE WHEN o_orderkey % 10 = 0 THEN 'pareto_hpo' ELSE 'cv_standard' END AS protocol, CASE WHEN o_orderkey % 4 = 0 THEN 'regression' ELSE 'multiclass' END AS task_type,
 CAST(o_custkey % 900 AS INT) AS n_features, CAST(o_custkey * 50 AS INT) AS n_rows, CAST(o_orderkey % 15 AS INT) AS n_classes FROM orders),
-k AS (SELECT * FROM (VALUES ('tabpfnv2', true, false, 500, 10000, 10), ('tabicl', false, false, NULL, 50000, NULL), ('mitra', true, false, NULL, 5000, 10), ('catboost_tuned', true, true, NULL, NULL, NULL), ('tabpfn25', true, false, 2000, 50000, 10)) t(model, regression, tuned, max_features, max_rows, max_classes))
-SELECT r.*, CASE WHEN k.model IS NULL THEN 'unknown_model' WHEN task_type = 'regression' AND NOT regression THEN 'no_regression' WHEN n_features > max_features THEN 'feature_cap' WHEN task_type <> 'regression' AND n_classes > max_classes THEN 'class_cap'
+k AS (SELECT * FROM (VALUES ('tabpfnv2', 'tfm', true, false, 500, 10000, 10, NULL), ('tabicl', 'tfm', false, false, NULL, 50000, NULL, NULL), ('mitra', 'tfm', true, false, NULL, 5000, 10, 2000000), ('catboost_tuned', 'gbdt', true, true, NULL, NULL, NULL, NULL), ('tabpfn25', 'tfm', true, false, 2000, 50000, 10, NULL)) t(model, kind, regression, tuned, max_features, max_rows, max_classes, max_cells))
+SELECT r.*, k.kind, CASE WHEN k.model IS NULL THEN 'unknown_model' WHEN task_type = 'regression' AND NOT regression THEN 'no_regression' WHEN n_features > max_features THEN 'feature_cap' WHEN task_type <> 'regression' AND n_classes > max_classes THEN 'class_cap' WHEN least(n_rows, coalesce(max_rows, n_rows)) * n_features > max_cells THEN 'cell_cap'
 WHEN protocol = 'pareto_hpo' AND NOT tuned THEN 'pareto_tunable_only' WHEN protocol = 'pareto_hpo' AND task_type = 'regression' THEN 'no_pareto_for_regression' END AS skip_reason, least(n_rows, coalesce(max_rows, n_rows)) AS support_rows FROM r LEFT JOIN k USING (model)""")
 def capability_skip(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -152,14 +184,35 @@ def capability_skip(spark, sf_dir):
         "o_orderkey", F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("model"), F.when(F.col("o_orderkey") % 10 == 0, "pareto_hpo").otherwise("cv_standard").alias("protocol"), F.when(F.col("o_orderkey") % 4 == 0, "regression").otherwise("multiclass").alias("task_type"),
         (F.col("o_custkey") % 900).cast("int").alias("n_features"), (F.col("o_custkey") * 50).cast("int").alias("n_rows"), (F.col("o_orderkey") % 15).cast("int").alias("n_classes"),
     )
-    return grid.capability(r, grid.caps(spark))
+    return grid.capability(r, grid.caps(spark).withColumn("max_cells", F.when(F.col("model") == "mitra", 2000000).cast("long")))
+
+
+_GAPS = f"""c AS ({C}), r0 AS (SELECT model, CASE WHEN seed % 2 = 0 THEN 'binclass' ELSE 'regression' END AS task_type, {_UNIT} AS unit, min(row_id) AS i FROM c WHERE status = 'ok' AND protocol = 'hpo' GROUP BY ALL),
+r AS (SELECT model, task_type, unit AS dataset, CASE WHEN i % 5 = 0 THEN CAST(i % 10 AS DOUBLE) / 100 ELSE CAST(i % 100 AS DOUBLE) / 100 - CAST(i % 37 AS DOUBLE) / 50 END AS v FROM r0)"""
 
 
-@query(f"""WITH c AS ({C}), r AS (SELECT model, CASE WHEN row_id % 2 = 0 THEN 'binclass' ELSE 'regression' END AS task_type, CAST(row_id % 100 AS DOUBLE) / 100 - CAST(row_id % 37 AS DOUBLE) / 50 AS gap FROM c WHERE status = 'ok')
-SELECT model, task_type, count(*) AS n, round(avg(gap), 9) AS mean_optimism_gap FROM r GROUP BY GROUPING SETS ((model), (model, task_type))""")
+@query(f"""WITH {_GAPS}, {boot_sql('SELECT model, task_type, dataset, v FROM r', 'model, task_type', 'optimism', 'ga')}, {boot_sql('SELECT model, dataset, v FROM r', 'model', 'optimism', 'gb')}
+SELECT model, task_type, n, round(mean, 9) AS mean_optimism_gap, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ga JOIN (SELECT model, task_type, count(*) AS n FROM r GROUP BY ALL) USING (model, task_type)
+UNION ALL SELECT model, NULL, n, round(mean, 9), round(lo, 9), round(hi, 9) FROM gb JOIN (SELECT model, count(*) AS n FROM r GROUP BY model) USING (model)""")
 def optimism_gap(spark, sf_dir):
-    c = cells(spark, sf_dir).where("status = 'ok'").select("model", F.when(F.col("row_id") % 2 == 0, "binclass").otherwise("regression").alias("task_type"), F.lit(None).cast("double").alias("optimism_gap"), ((F.col("row_id") % 100).cast("double") / 100).alias("inner_score"), ((F.col("row_id") % 37).cast("double") / 50).alias("test_score"))
-    return charts.optimism(c).withColumn("mean_optimism_gap", F.round("mean_optimism_gap", 9))
+    c = cells(spark, sf_dir).where("status = 'ok'").groupBy("model", "protocol", F.when(F.col("seed") % 2 == 0, "binclass").otherwise("regression").alias("task_type"), unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")).alias("unit")).agg(F.min("row_id").alias("i"))
+    i = F.col("i")
+    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 == 0, (i % 10).cast("double") / 100).alias("optimism_gap"), ((i % 100).cast("double") / 100).alias("inner_score"), ((i % 37).cast("double") / 50).alias("test_score")), "records")
+    gaps = charts.optimism(c, lambda d, keys, v, item: resample.mean_interval(d, keys, v, item, b=B, seed=SEED, stage="optimism"), protocol="hpo")
+    return gaps.select("model", "task_type", "n", *[F.round(k, 9).alias(k) for k in ("mean_optimism_gap", "lo", "hi")])
+
+
+@query(f"""WITH {_GAPS}, g AS (SELECT model, CASE WHEN model = 'm2' THEN 'unknown' ELSE task_type END AS task_type, v FROM r)
+SELECT model, task_type, CASE task_type WHEN 'binclass' THEN 'ROC-AUC' ELSE 'negative RMSE on the standardised target' END AS unit, count(*) AS n, round(avg(v), 9) AS mean_optimism_gap FROM g WHERE task_type <> 'unknown' GROUP BY ALL
+UNION ALL SELECT model, 'pooled_MIXED_UNITS', NULL, count(*), round(avg(v), 9) FROM g WHERE model = 'm2' GROUP BY model""")
+def gap_table(spark, sf_dir):
+    """One system's records don't say their task."""
+    i = F.col("i")
+    c = cells(spark, sf_dir).where("status = 'ok'").groupBy("model", "protocol", F.when(F.col("model") != "m2", F.when(F.col("seed") % 2 == 0, "binclass").otherwise("regression")).alias("task_type"), unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")).alias("unit")).agg(F.min("row_id").alias("i"))
+    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 == 0, (i % 10).cast("double") / 100).alias("optimism_gap"), ((i % 100).cast("double") / 100).alias("inner_score"), ((i % 37).cast("double") / 50).alias("test_score")), "records")
+    mean_only = lambda d, keys, v, item: d.groupBy(*keys).agg(F.avg(v).alias("mean"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    rows = charts.gap_table(charts.optimism(c, mean_only, protocol="hpo"), {"classification": "ROC-AUC", "regression": "negative RMSE on the standardised target"})
+    return rows.select("model", "task_type", "unit", "n", F.round("mean_optimism_gap", 9).alias("mean_optimism_gap"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS a, c_custkey % 3 = 0 AS b, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 = 1 END AS c, true AS d FROM customer)

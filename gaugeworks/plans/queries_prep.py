@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import preprocess, splits
+from gaugeworks.operators import metrics, preprocess, splits
 from gaugeworks.session import table
 
 QUERIES: dict = {}
@@ -26,7 +26,8 @@ def _md5(seed: int, row: str) -> str:
 
 
 _FOLD = f"""o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_md5(3, 'o_orderkey')}, o_orderkey) AS pos, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders),
-f AS (SELECT *, CASE WHEN pos <= round(n * 0.64e0) THEN 'train' WHEN pos <= round(n * (0.64e0 + 0.16e0)) THEN 'val' ELSE 'test' END AS fold FROM o)"""
+o2 AS (SELECT * EXCLUDE (pos, n), row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_md5(3, 'o_orderkey')}, o_orderkey) AS pos, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM o WHERE pos > round(n * 0.64e0)),
+f AS (SELECT * EXCLUDE (pos, n), 'train' AS fold FROM o WHERE pos <= round(n * 0.64e0) UNION ALL SELECT * EXCLUDE (pos, n), CASE WHEN pos <= round(n * (0.16e0 / (1 - 0.64e0))) THEN 'val' ELSE 'test' END FROM o2)"""
 
 
 def _folded(spark, sf_dir):
@@ -34,6 +35,26 @@ def _folded(spark, sf_dir):
     return splits.holdout(o, "o_orderstatus", "o_orderkey", 3)
 
 
+_DECILES = "[" + ", ".join(f"{k / 10!r}e0" for k in range(11)) + "]"
+_BINNED = "greatest(len(list_filter(list_distinct(e), lambda x: x < o_totalprice)) - 1, 0)"
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(o_totalprice, {_DECILES}) AS e FROM orders), s AS (SELECT o_orderkey, o_totalprice, {_BINNED} AS st FROM orders CROSS JOIN q),
+o AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {_md5(7, 'o_orderkey')}, o_orderkey) AS pos, count(*) OVER (PARTITION BY st) AS n FROM s), r AS (SELECT o_orderkey, o_totalprice FROM o WHERE pos > round(n * 0.64e0)),
+q2 AS (SELECT quantile_cont(o_totalprice, {_DECILES}) AS e FROM r), s2 AS (SELECT o_orderkey, {_BINNED} AS st FROM r CROSS JOIN q2),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {_md5(7, 'o_orderkey')}, o_orderkey) AS pos, count(*) OVER (PARTITION BY st) AS n FROM s2)
+SELECT o_orderkey, 'train' AS fold FROM o WHERE pos <= round(n * 0.64e0) UNION ALL SELECT o_orderkey, CASE WHEN pos <= round(n * (0.16e0 / (1 - 0.64e0))) THEN 'val' ELSE 'test' END FROM o2""")
+def regression_split(spark, sf_dir):
+    return splits.holdout(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 7, continuous=True).select("o_orderkey", "fold")
+
+
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY {_md5(6, 'c_custkey')}, c_custkey) <= round(count(*) OVER () * 0.15e0) AS early_stop FROM customer")
+def early_stop_unstratified(spark, sf_dir):
+    """A stratum of one row, so that all rows are carved alike."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return splits.carve(c.withColumn("s", F.col("c_custkey") == 1), "s", "c_custkey", 6).select("c_custkey", "early_stop")
+
+
 @query(f"WITH {_FOLD} SELECT o_orderkey, o_orderstatus, fold FROM f")
 def stratified_split(spark, sf_dir):
     return _folded(spark, sf_dir).select("o_orderkey", "o_orderstatus", "fold")
@@ -86,7 +107,8 @@ def strata_quota(spark, sf_dir):
     return splits.quota(_items(spark, sf_dir), "stratum", 10)
 
 
-@query(f"WITH {_STRATA}, a AS (SELECT st.*, row_number() OVER (PARTITION BY stratum ORDER BY {_md5(4, 'p_brand')}, p_brand) AS pos FROM st) SELECT p_brand, stratum FROM a JOIN q USING (stratum) WHERE pos <= quota")
+@query(f"""WITH {_STRATA}, a AS (SELECT st.*, row_number() OVER (PARTITION BY stratum ORDER BY {_md5(4, 'p_brand')}, p_brand) AS pos FROM st),
+b AS (SELECT p_brand, stratum, row_number() OVER (ORDER BY pos > quota, {_md5(4, 'p_brand')}, p_brand) AS place FROM a JOIN q USING (stratum)) SELECT p_brand, stratum FROM b WHERE place <= 10""")
 def strata_draw(spark, sf_dir):
     return splits.draw(_items(spark, sf_dir), "stratum", "p_brand", 10, 4).select("p_brand", "stratum")
 
@@ -104,20 +126,20 @@ def impute_standardise(spark, sf_dir):
     return preprocess.impute_standardise(_numeric(spark, sf_dir), ["a", "b"]).withColumns({c: F.round(c, 6) for c in "ab"})
 
 
-_CAT = "x AS (SELECT o_orderkey, fold, CASE WHEN o_orderkey % 9 = 0 THEN '-1' ELSE o_orderpriority END AS c FROM f), k AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM x WHERE fold = 'train' AND c <> '2-HIGH'))"
+_CAT = "x AS (SELECT o_orderkey, fold, CASE WHEN o_orderkey % 9 = 0 THEN '-1' WHEN fold = 'test' AND o_orderpriority = '2-HIGH' THEN '2-UNSEEN' ELSE o_orderpriority END AS c FROM f), k AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM x WHERE fold = 'train'))"
 
 
 def _categorical(spark, sf_dir):
-    r = _folded(spark, sf_dir).select("o_orderkey", "fold", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("c"))
-    return r.where("fold <> 'train' or c is null or c <> '2-HIGH'")
+    unseen = (F.col("fold") == "test") & (F.col("o_orderpriority") == "2-HIGH")
+    return _folded(spark, sf_dir).select("o_orderkey", "fold", F.when(F.col("o_orderkey") % 9 != 0, F.when(unseen, "2-UNSEEN").otherwise(F.col("o_orderpriority"))).alias("c"))
 
 
-@query(f"WITH {_FOLD}, {_CAT} SELECT o_orderkey, fold, coalesce(k, -1) AS c_code FROM x LEFT JOIN k USING (c) WHERE NOT (fold = 'train' AND c = '2-HIGH')")
+@query(f"WITH {_FOLD}, {_CAT} SELECT o_orderkey, fold, coalesce(k, -1) AS c_code FROM x LEFT JOIN k USING (c)")
 def ordinal_encode(spark, sf_dir):
     return preprocess.ordinal(_categorical(spark, sf_dir), "c").select("o_orderkey", "fold", "c_code")
 
 
-@query(f"WITH {_FOLD}, {_CAT} SELECT o_orderkey, fold, array_to_string(list_transform(range(0, (SELECT count(*) FROM k)), lambda i: CASE WHEN i = k THEN 1 ELSE 0 END), '') AS c_onehot FROM x LEFT JOIN k USING (c) WHERE NOT (fold = 'train' AND c = '2-HIGH')")
+@query(f"WITH {_FOLD}, {_CAT} SELECT o_orderkey, fold, array_to_string(list_transform(range(0, (SELECT count(*) FROM k)), lambda i: CASE WHEN i = k THEN 1 ELSE 0 END), '') AS c_onehot FROM x LEFT JOIN k USING (c)")
 def onehot_encode(spark, sf_dir):
     return preprocess.onehot(_categorical(spark, sf_dir), "c").select("o_orderkey", "fold", F.array_join(F.transform("c_onehot", lambda x: x.cast("string")), "").alias("c_onehot"))
 
@@ -154,3 +176,38 @@ def header_fill_forward(spark, sf_dir):
     line = F.when(k % 10 == 0, F.concat(F.lit("# --- "), "c_mktsegment", F.lit(" (5)"))).when(k % 10 == 5, "").otherwise(F.concat(F.lit("  - "), "c_name"))
     lines = table(spark, sf_dir, "customer").select(k.alias("line_no"), line.alias("line"))
     return preprocess.fill_headers(lines, "line_no", "line", r"^#.*--- (\w+)", r"^  - (.*)$")
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal AS p FROM customer), d AS (SELECT *, ['a', 'b', 'c'][CAST(c_custkey % 3 AS INT) + 1] AS x1 FROM c)
+SELECT c_custkey, CASE x1 WHEN 'a' THEN 0.2e0 WHEN 'b' THEN 0e0 ELSE 0.5e0 END AS p0, CASE x1 WHEN 'a' THEN 0.8e0 WHEN 'b' THEN 1e0 ELSE 0.25e0 END AS p1, CASE x1 WHEN 'c' THEN 0.25e0 ELSE 0e0 END AS p2, false AS proba_renormalised FROM d""")
+def probability_padding(spark, sf_dir):
+    """Columns of some classes only, by class id, made columns of all three."""
+    which = F.col("c_custkey") % 3
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(which == 0, F.array(F.lit(0.2), F.lit(0.8))).when(which == 1, F.array(F.lit(1.0))).otherwise(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.25))).alias("proba"), F.when(which == 0, F.array(F.lit(0), F.lit(1))).when(which == 1, F.array(F.lit(1))).otherwise(F.array(F.lit(2), F.lit(0), F.lit(1))).alias("ids"))
+    full = rows.select("c_custkey", metrics.padded(F.col("proba"), F.col("ids"), 3).alias("proba"))
+    own = metrics.renormalised(F.col("proba"))
+    return full.select("c_custkey", *[own["proba"][k].alias(f"p{k}") for k in range(3)], own["proba_renormalised"].alias("proba_renormalised"))
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_quantity > 48 THEN 0e0 ELSE l_discount END AS a, CASE WHEN l_quantity > 48 THEN 0e0 WHEN l_quantity > 25 THEN 1 - l_discount ELSE l_tax END AS b FROM lineitem)
+SELECT row_id, round(CASE WHEN abs(a + b - 1) > 1e-9 THEN a / CASE WHEN a + b = 0 THEN 1 ELSE a + b END ELSE a END, 9) AS p0, round(abs(a + b - 1), 9) AS proba_max_sum_deviation, abs(a + b - 1) > 1e-9 AS proba_renormalised FROM r""")
+def probability_renormalise(spark, sf_dir):
+    q = F.col("l_quantity")
+    r = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array(F.when(q > 48, 0.0).otherwise(F.col("l_discount").cast("double")), F.when(q > 48, 0.0).when(q > 25, 1 - F.col("l_discount")).otherwise(F.col("l_tax")).cast("double")).alias("proba"))
+    own = metrics.renormalised(F.col("proba"))
+    return r.select("row_id", F.round(own["proba"][0], 9).alias("p0"), F.round(own["proba_max_sum_deviation"], 9).alias("proba_max_sum_deviation"), own["proba_renormalised"].alias("proba_renormalised"))
+
+
+@query(f"WITH {_FOLD}, k AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS y FROM (SELECT DISTINCT o_orderstatus AS c FROM f WHERE fold = 'train')) SELECT o_orderkey, y FROM f JOIN k ON k.c = o_orderstatus")
+def label_encode(spark, sf_dir):
+    return preprocess.labels(_folded(spark, sf_dir), "o_orderstatus").select("o_orderkey", "y")
+
+
+@query("SELECT name, kind, place FROM (VALUES ('o_custkey', 'numeric', 0), ('o_totalprice', 'numeric', 1), ('o_orderstatus', 'categorical', 2), ('o_orderpriority', 'categorical', 3)) t(name, kind, place)")
+def column_index(spark, sf_dir):
+    return preprocess.columns(table(spark, sf_dir, "orders"), ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query(f"WITH {_FOLD}, k AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT o_orderpriority AS c FROM f WHERE fold = 'train')) SELECT o_orderkey, CAST(k AS VARCHAR) AS o_orderpriority FROM f JOIN k ON k.c = o_orderpriority")
+def native_categories(spark, sf_dir):
+    return preprocess.native_categories(_folded(spark, sf_dir), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")

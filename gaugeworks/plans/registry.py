@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_grid, queries_prep, queries_stats
+from . import queries_grid, queries_jobs, queries_prep, queries_stats
 
-QUERIES = queries_stats.QUERIES | queries_grid.QUERIES | queries_prep.QUERIES
-ORACLES = queries_stats.ORACLES | queries_grid.ORACLES | queries_prep.ORACLES
+_ALL = (queries_stats, queries_grid, queries_prep, queries_jobs)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}

@@ -6,20 +6,22 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeworks.sources import records
+from gaugeworks.operators import jobs
+from gaugeworks.sources import lists, records
 from gaugeworks.streaming import manifest
 
 
 def test_records(spark, tmp_path):
     good = {"status": "ok", "dataset": "core:a", "protocol": "cv", "model": "m", "seed": 0, "task_type": "binclass", "y_true": [0, 1], "pred": [0.2, 0.7], "metrics": {"auc": 1.0, "ece": float("nan"), "has_predictive_sigma": False}}
-    (tmp_path / "a__cv__m__seed0.json").write_text(json.dumps(good))
+    (tmp_path / "core:a(1)__cv__m__seed0.json").write_text(json.dumps(good))
     (tmp_path / "b__cv__m__seed0.json").write_text(json.dumps(good | {"status": "error:X", "metrics": None}, indent=1))
     (tmp_path / "c__cv__m__seed0.json").write_text(json.dumps(good)[:40])
     (tmp_path / "other.json").write_text("{}")
     assert records.units(spark, str(tmp_path)).count() == 3
     (r,) = records.ok_records(spark, str(tmp_path)).collect()
-    assert r["metrics"]["auc"] == 1 and r["metrics"]["ece"] is None and r["file"].startswith("a__")
+    assert r["metrics"]["auc"] == 1 and r["metrics"]["ece"] is None and r["file"] == "core:a(1)__cv__m__seed0.json"
     assert tuple(records.unreadable(spark, str(tmp_path)).collect()[0]) == (3, 1)
     assert records.predictions(records.ok_records(spark, str(tmp_path))).count() == 2
 
@@ -49,3 +51,74 @@ def test_stream(spark, tmp_path):
     q = manifest.read(spark, str(src)).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("seen").count() == 2
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("core", "cv", "m", 0), ("tabred", "temporal", "n", 1)], "family string, protocol string, model string, seed int")
+    records.write_records(df, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert "PartitionFilters: [isnotnull(family" in back.where("family = 'core'")._jdf.queryExecution().toString()
+    one = spark.createDataFrame([("u", "ok")], "unit string, status string")
+    records.append_manifest(one, str(tmp_path / "m"))
+    records.append_manifest(one, str(tmp_path / "m"))
+    assert records.manifest(spark, str(tmp_path / "m")).count() == 2
+    records.write_table(df, str(tmp_path / "t"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 2
+    records.dump(spark, f"file://{tmp_path}/run_meta.json", {"run_started": "t", "hostname": "h", "units": ["u"], "timeout_s": 5})
+    (r,) = records.run_meta(spark, str(tmp_path)).collect()
+    assert (r["hostname"], r["units"], r["timeout_s"]) == ("h", ["u"], 5)
+    with pytest.raises(Exception):
+        (tmp_path / "bad").mkdir()
+        (tmp_path / "bad" / "run_meta_1.json").write_text("{")
+        records.run_meta(spark, str(tmp_path / "bad")).collect()
+
+
+def test_id_tables_and_snapshots(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("name,resolved_id,candidate_name,match_type,score,status\na,1,A,exact,1.0,ok\nb,,,,,missing_VERIFY\n")
+    assert jobs.unresolved(records.id_table(spark, str(tmp_path / "ids.csv"))).first().asDict() == {"n": 2, "n_ok": 1, "n_missing": 1}
+    (tmp_path / "s.json").write_text(json.dumps({"kept": [{"task_id": 3, "dataset_id": 30, "dropped": False}, {"task_id": 2, "dataset_id": 20, "dropped": False}]}))
+    s = records.snapshot(spark, str(tmp_path / "s.json")).select("place", F.col("task_id").alias("member"))
+    got = jobs.expand("suite", {"resolve": "static_snapshot", "max_datasets": 1}, s)
+    assert [r["dataset"] for r in got.collect()] == ["suite:3"] and jobs.expand("x", {}, None) == ["x"]
+
+
+YAML = """
+# a list
+family: core_hpo20   # renamed
+emit_as: core
+k: 20
+ok: true
+none: ~
+sizes: [1, 2.5, "a, b"]
+map: {a: 1, b: 'it''s'}
+datasets:
+  - adult
+  - "b # not a comment"
+nested:
+  claims:
+    - id: c1
+      a: x
+      tests: [p, q]
+    - id: c2
+  empty:
+"""
+
+
+def test_yaml(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    assert lists.minimal(YAML) == yaml.safe_load(YAML) == lists.load(YAML)
+    (tmp_path / "c.yaml").write_text(YAML)
+    c = lists.config(spark, f"file://{tmp_path}/c.yaml")
+    assert lists.config(spark, f"file://{tmp_path}/none.yaml") == {} and [r["member"] for r in lists.members(spark, c).collect()] == ["adult", "b # not a comment"]
+    lists.write_subset(spark, f"file://{tmp_path}/sub.yaml", ["b", "a"], {"family": "core_hpo20", "emit_as": "core", "k": 2}, ["drawn"])
+    assert lists.config(spark, f"file://{tmp_path}/sub.yaml") == {"family": "core_hpo20", "emit_as": "core", "k": 2, "datasets": ["a", "b"]}
+    lists.write_snapshot(spark, f"file://{tmp_path}/snap.yaml", "suite", "2024-01-01", "0.1", 3, [(5, 50, "x"), (6, 60, "y")])
+    snap = lists.config(spark, f"file://{tmp_path}/snap.yaml")
+    assert snap["n_tasks_in_suite"] == 3 and snap["n_tasks_after_core_dedup"] == 2 and [t["task_id"] for t in snap["tasks"]] == [5, 6]
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("A1", True, "fine"), ("ALL", False, "G1"), ("G1", False, "2 left")], "id string, passed boolean, message string")
+    assert lists.report(df, "Gate").splitlines()[:3] == ["Gate", "====", "id   passed  message"]
+    assert lists.verdict_report(df) == "[PASS] A1   fine\n[FAIL] G1   2 left\nGATE FAILED: G1\n"
