@@ -4,7 +4,8 @@ A text's set is its distinct shingles of five words; texts link when their sets'
 
 1. Frequencies. Every shingle of every text is counted: tasks count their own, pack sorted hashes, and reducers of hash ranges sum
    them up. Two bit maps of bounded size tell of each shingle whether it occurs again, and whether it occurs in more than
-   `frequent` texts. A wrong bit (two shingles may share one) costs time, never a result.
+   `frequent` texts. Once the maps can't grow with the corpus, the bound on frequent shingles does, so that at most a sixteenth of the second map's
+   bits are set. A wrong bit (two shingles may share one) costs time, never a result.
 2. Order. Shingles that occur nowhere else come first, then rare ones, then frequent ones; by hash within a class. If a set of n shingles has
    more than n // 5 that occur nowhere else, it has no partner. The others are told apart by a 128-bit hash of the set, so that copies are one row.
 3. Signatures. A partner lacks n // 5 of a set's shingles at most. A prefix of the order is extended until its rare shingles, plus over
@@ -14,7 +15,8 @@ A text's set is its distinct shingles of five words; texts link when their sets'
    for each power that a partner may have.
 4. Sketches. Each set keeps the parity of its shingles in 1024 hashed bits. What two sets share cancels out, so bits that differ are never more than
    shingles that differ; a pair with more of them than a ninth of both sizes can't link and isn't formed.
-5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; only pairs whose components still
+5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; that is repeated while there are
+   many more pairs of differing components than sets left, `rounds` times at most; pairs whose components still
    differ are compared after that, until no such pair is left. Groups of near copies are so linked by about as many comparisons as they
    have members. All comparisons are exact, by whole sets.
 
@@ -93,6 +95,8 @@ def frequencies(docs: DataFrame, frequent: int, most_bits: int) -> Frequencies:
     about = size // 6 + 1
     bits = min(most_bits, max(16, (about // 2).bit_length()))
     part_bits = min(bits - 6, max(4, (about >> 21).bit_length()))
+    # of `about` shingles no more than about / frequent are frequent
+    frequent = max(frequent, 16 * about >> bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -330,7 +334,7 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
     return links, roots
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
     common.batches(spark)
