@@ -110,7 +110,7 @@ def rank_band_rows(bands: DataFrame, size: int = 3) -> DataFrame:
     from .resample import top_cluster
 
     top = top_cluster(bands, size).select("model", F.lit(True).alias("top"))
-    return bands.join(top, "model", "left").select("model", "median_rank", (F.col("median_rank") - F.col("lo")).alias("below"), (F.col("hi") - F.col("median_rank")).alias("above"), F.coalesce("top", F.lit(False)).alias("in_top_cluster"))
+    return bands.join(top, "model", "left").select("model", "median_rank", (F.col("median_rank") - F.col("lo")).alias("below"), (F.col("hi") - F.col("median_rank")).alias("above"), F.coalesce("top", F.lit(False)).alias("in_top_cluster")).orderBy("median_rank", "model")
 
 
 def slope_rows(moved: DataFrame, least: float = 1.0) -> DataFrame:

@@ -26,16 +26,21 @@ def missing(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.select(*CELL), CELL, "left_anti")
 
 
+def first_missing(grid: DataFrame, done: DataFrame, most: int = 20) -> DataFrame:
+    """The first cells that are missing, for a message."""
+    return missing(grid, done).orderBy(*CELL).limit(most)
+
+
 def shard(grid: DataFrame, k: int, n: int) -> DataFrame:
     """Cells whose place in the grid's order is k modulo n."""
     return grid.withColumn("place", F.row_number().over(Window.orderBy(*CELL)) - 1).where(F.pmod("place", F.lit(n)) == k)
 
 
 def coverage(cells: DataFrame) -> DataFrame:
-    """(model, family, protocol, n_ok, n_error, n_skip, total, coverage_pct, incomplete)."""
+    """(model, family, protocol, n_ok, n_error, n_skip, total, coverage_pct, incomplete), in that order."""
     b = bucket(F.col("status"))
     c = cells.withColumn("family", family(F.col("dataset"))).groupBy("model", "family", "protocol").agg(F.count_if(b == "ok").alias("n_ok"), F.count_if(b == "error").alias("n_error"), F.count_if(b == "skip").alias("n_skip"), F.count(F.lit(1)).alias("total"))
-    return c.withColumn("coverage_pct", F.round(F.coalesce(F.try_divide(100.0 * F.col("n_ok"), F.col("total")), F.lit(0.0)), 1)).withColumn("incomplete", F.col("n_ok") < F.col("total"))
+    return c.withColumn("coverage_pct", F.round(F.coalesce(F.try_divide(100.0 * F.col("n_ok"), F.col("total")), F.lit(0.0)), 1)).withColumn("incomplete", F.col("n_ok") < F.col("total")).orderBy("model", "family", "protocol")
 
 
 def incomplete(cells: DataFrame) -> DataFrame:

@@ -84,6 +84,13 @@ def dedup_family(members: DataFrame, ids: DataFrame, taken: DataFrame) -> DataFr
     return known.join(taken.select(F.col("external_id").alias("resolved_id")).where("resolved_id is not null").distinct(), "resolved_id", "left_anti").select(*members.columns, "resolved_id")
 
 
+def header_counts(lines: DataFrame, order: str, text: str, header: str, item: str, count: str) -> DataFrame:
+    """(group, declared, listed, agrees): the number that each header declares against the items listed under it; count: a pattern with one group."""
+    listed = fill_headers(lines, order, text, header, item).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    heads = lines.select(F.nullif(F.regexp_extract(text, header, 1), F.lit("")).alias("group"), F.regexp_extract(text, count, 1).try_cast("int").alias("d")).where("group is not null").groupBy("group").agg(F.sum("d").alias("declared"))
+    return heads.join(listed, "group", "left").select("group", "declared", F.coalesce("n", F.lit(0)).alias("listed"), F.col("declared").eqNullSafe(F.coalesce("n", F.lit(0))).alias("agrees"))
+
+
 def fill_headers(lines: DataFrame, order: str, text: str, header: str, item: str) -> DataFrame:
     """Items of a commented list with the last header before them: (order, group, item). header and item are patterns with one group. A file's lines are few."""
     got = lines.withColumn("__h", F.nullif(F.regexp_extract(text, header, 1), F.lit(""))).withColumn("item", F.nullif(F.regexp_extract(text, item, 1), F.lit("")))

@@ -53,9 +53,9 @@ def strict_block(grid: DataFrame) -> DataFrame:
 
 
 def leaderboard(grid: DataFrame) -> DataFrame:
-    """(model, mean_rank, n_datasets, mean_score) over each dataset's own systems."""
+    """(model, mean_rank, n_datasets, mean_score) over each dataset's own systems, best first."""
     ranked = average_rank(grid, ["dataset"])
-    return ranked.groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n_datasets"), F.avg("score").alias("mean_score"))
+    return ranked.groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n_datasets"), F.avg("score").alias("mean_score")).orderBy("mean_rank", "model")
 
 
 def movers(a: DataFrame, b: DataFrame, top: int = 3) -> DataFrame:

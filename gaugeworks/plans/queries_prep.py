@@ -169,13 +169,22 @@ def dedup_family(spark, sf_dir):
     return preprocess.dedup_family(members, ids, table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("external_id")))
 
 
+def _lines(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = F.when(k % 10 == 0, F.concat(F.lit("# --- "), "c_mktsegment", F.lit(" (5)"))).when(k % 10 == 5, "").otherwise(F.concat(F.lit("  - "), "c_name"))
+    return table(spark, sf_dir, "customer").select(k.alias("line_no"), line.alias("line"))
+
+
 @query("""WITH l AS (SELECT c_custkey AS line_no, CASE WHEN c_custkey % 10 = 0 THEN '# --- ' || c_mktsegment || ' (5)' WHEN c_custkey % 10 = 5 THEN '' ELSE '  - ' || c_name END AS line FROM customer), h AS (SELECT *, CASE WHEN line LIKE '#%' THEN regexp_extract(line, '--- (\\w+)', 1) END AS h FROM l)
 SELECT line_no, "group", item FROM (SELECT line_no, last_value(h IGNORE NULLS) OVER (ORDER BY line_no) AS "group", CASE WHEN line LIKE '  - %' THEN substr(line, 5) END AS item FROM h) WHERE item IS NOT NULL""")
 def header_fill_forward(spark, sf_dir):
-    k = F.col("c_custkey")
-    line = F.when(k % 10 == 0, F.concat(F.lit("# --- "), "c_mktsegment", F.lit(" (5)"))).when(k % 10 == 5, "").otherwise(F.concat(F.lit("  - "), "c_name"))
-    lines = table(spark, sf_dir, "customer").select(k.alias("line_no"), line.alias("line"))
-    return preprocess.fill_headers(lines, "line_no", "line", r"^#.*--- (\w+)", r"^  - (.*)$")
+    return preprocess.fill_headers(_lines(spark, sf_dir), "line_no", "line", r"^#.*--- (\w+)", r"^  - (.*)$")
+
+
+@query("""WITH h AS (SELECT c_mktsegment AS "group", CAST(sum(5) AS BIGINT) AS declared FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1), l AS (SELECT "group", count(*) AS n FROM (SELECT c_custkey, last_value(CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment END IGNORE NULLS) OVER (ORDER BY c_custkey) AS "group" FROM customer) WHERE c_custkey % 10 NOT IN (0, 5) GROUP BY 1)
+SELECT "group", declared, coalesce(n, 0) AS listed, declared = coalesce(n, 0) AS agrees FROM h LEFT JOIN l USING ("group")""")
+def header_counts(spark, sf_dir):
+    return preprocess.header_counts(_lines(spark, sf_dir), "line_no", "line", r"^#.*--- (\w+)", r"^  - (.*)$", r"\((\d+)\)")
 
 
 @query(f"""WITH c AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal AS p FROM customer), d AS (SELECT *, ['a', 'b', 'c'][CAST(c_custkey % 3 AS INT) + 1] AS x1 FROM c)

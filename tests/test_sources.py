@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import jobs
+from gaugeworks.operators import gate, jobs
 from gaugeworks.sources import lists, records
 from gaugeworks.streaming import manifest
 
@@ -72,6 +72,9 @@ def test_sinks_round_trip(spark, tmp_path):
         (tmp_path / "bad").mkdir()
         (tmp_path / "bad" / "run_meta_1.json").write_text("{")
         records.run_meta(spark, str(tmp_path / "bad")).collect()
+    assert records.run_meta(spark, str(tmp_path / "bad"), strict=False).count() == 0
+    told = gate.guarded(spark, "A1", lambda: gate.metric_present(records.run_meta(spark, str(tmp_path / "bad")), "timeout_s", "A1")).first()
+    assert (told["id"], told["passed"]) == ("A1", False) and told["message"].startswith("unreadable")
 
 
 def test_id_tables_and_snapshots(spark, tmp_path):
