@@ -29,7 +29,7 @@ documentation files (the "Software"), to deal in the Software without restrictio
 copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
 furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>>
 shall be included in all copies or substantial portions of the Software. <<optional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
-INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 1-12>> BE LIABLE
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 1-40>> BE LIABLE
 FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
 USE OR OTHER DEALINGS IN THE SOFTWARE.<<end>>"""
 
@@ -45,7 +45,7 @@ TEMPLATES = (
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""),
     ("bsd-2-clause", _BSD_HEAD),
-    ("bsd-3-clause", _BSD_HEAD + """ <<optional>>3.<<end>> Neither the name of <<any 1-12>> nor the names of its contributors may be used to endorse or promote products derived
+    ("bsd-3-clause", _BSD_HEAD + """ <<optional>>3.<<end>> Neither the name of <<any 1-40>> nor the names of its contributors may be used to endorse or promote products derived
 from this software without specific prior written permission."""),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 <<optional>>(the \"License\"); you may not use this file except in compliance with the License<<end>>"),
     ("gpl-2.0", "<<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 2"),
@@ -54,7 +54,7 @@ from this software without specific prior written permission."""),
     ("cc-by-sa-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-SA 4.0"),
     ("cc-by-nc-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0"),
     ("cc-by-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> Creative Commons Attribution 4.0 International License"),
-    ("copyright", "Copyright <<optional>>c<<end>> <<optional>>©<<end>> <<any 1-12>> All rights reserved"),
+    ("copyright", "Copyright <<optional>>c<<end>> <<optional>>©<<end>> <<any 1-40>> All rights reserved"),
 )
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -132,8 +132,10 @@ def test_licence_contract(spark):
     r = got[len(ODD)]
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (13, 4, 0, 10, "cc-by,gpl,reserved")
     assert (got[0]["n_words"], got[0]["first_word"], got[0]["labels"], got[0]["score"]) == (0, None, "", 0.0)
-    mit = licenses.TEMPLATES[0][1].replace("<<any 1-12>>", "The Authors").replace("<<optional>>", "").replace("<<end>>", "")
+    mit = licenses.TEMPLATES[0][1].replace("<<any 1-40>>", "The Authors").replace("<<optional>>", "").replace("<<end>>", "")
     assert "mit" in licenses.scan_text(mit)["labels"] and "mit" not in licenses.scan_text(mit.replace("free of charge", "free of any charge"))["labels"]
+    holders = " ".join(f"Holder{k} Inc, 20{k:02d}" for k in range(12))
+    assert "copyright" in licenses.scan_text(f"Copyright (c) {holders}. All rights reserved.")["labels"].split(",")
     with pytest.raises(ValueError):
         licenses.Automaton("<<any 1-2>> x")
 
