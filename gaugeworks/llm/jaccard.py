@@ -15,9 +15,8 @@ A text's set is its distinct shingles of five words; texts link when their sets'
    for each power that a partner may have.
 4. Sketches. Each set keeps the parity of its shingles in 1024 hashed bits. What two sets share cancels out, so bits that differ are never more than
    shingles that differ; a pair with more of them than a ninth of both sizes can't link and isn't formed.
-5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; that is repeated while there are
-   many more pairs of differing components than sets left, `rounds` times at most; pairs whose components still
-   differ are compared after that, until no such pair is left. Groups of near copies are so linked by about as many comparisons as they
+5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; that is done `rounds` times, fewer where
+   few pairs of differing components are left; pairs whose components still differ are compared after that, until no such pair is left. Groups of near copies are so linked by about as many comparisons as they
    have members. All comparisons are exact, by whole sets.
 
 Which pairs are compared depends on components alone: a pair that isn't compared is in one component already, so components are those of all links.
@@ -334,7 +333,7 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
     return links, roots
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 4) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
     common.batches(spark)
