@@ -292,7 +292,7 @@ _CLAIM_D = "SELECT cl.id, x.dataset, x.score - y.score AS {v} FROM cl JOIN ow x
     f"""WITH RECURSIVE {GAP_SQL}, {_BLOCK}, {_CLAIMS}, {_COUNTS}, {_wilcoxon_sql(_CLAIM_D.format(v='d'), 'id')}, {boot_sql(_CLAIM_D.format(v='v'), 'id', 'survival', 'ci')},
 ps AS (SELECT cl.*, coalesce(wt.n, 0) AS n, CASE WHEN wt.n >= 3 THEN p_greater ELSE 1e0 END AS p FROM cl LEFT JOIN wt USING (id)), hp AS ({_holm_sql('ps', 'p', 'id')})
 SELECT id, a, b, n AS n_datasets, CASE WHEN n >= 3 THEN round(mean, 9) END AS mean_delta, round(p, 9) AS wilcoxon_p_onesided, CASE WHEN n >= 3 THEN round(lo, 9) END AS ci_lo, CASE WHEN n >= 3 THEN round(hi, 9) END AS ci_hi, a = 'm7' OR b = 'm7' AS outside_complete_block, round(holm_p, 9) AS holm_p,
-CASE WHEN n >= 3 THEN holm_p < 0.05 AND lo > 0 END AS survives FROM hp LEFT JOIN ci USING (id)"""
+CAST(CASE WHEN n >= 3 THEN holm_p < 0.05 AND lo > 0 END AS VARCHAR) AS survives FROM hp LEFT JOIN ci USING (id)"""
 )
 def claim_survival(spark, sf_dir):
     g = gapped(grid(spark, sf_dir))
@@ -300,7 +300,7 @@ def claim_survival(spark, sf_dir):
     block = stored(ranks.strict_block(g.where("model <> 'm7'")).select("model", "dataset", "score").coalesce(1), "block")
     first = block.select("dataset").distinct().orderBy("dataset").limit(2)
     thin = g.where("model <> 'm7'").unionByName(g.where("model = 'm7'").join(first, "dataset", "left_semi").select(*g.columns))
-    return r9(significance.survival(significance.claims_of(g), thin, block, intervals))
+    return r9(significance.survival(significance.claims_of(g), thin, block, intervals)).withColumn("survives", F.col("survives").cast("string"))
 
 
 def _times_sql(stage: str) -> str:
@@ -370,9 +370,9 @@ def _flips(spark, sf_dir):
     return charts.axis_flips(stored(sparse(a), "grid"), b, intervals)
 
 
-@query(f"WITH RECURSIVE {GAP_SQL}, {_FLIP} SELECT * FROM fl")
+@query(f"WITH RECURSIVE {GAP_SQL}, {_FLIP} SELECT * REPLACE (CAST(sign_flip AS VARCHAR) AS sign_flip) FROM fl")
 def axis_flips(spark, sf_dir):
-    return r9(_flips(spark, sf_dir))
+    return r9(_flips(spark, sf_dir)).withColumn("sign_flip", F.col("sign_flip").cast("string"))
 
 
 @query(f"""WITH {GRID_SQL}, e AS (SELECT model, dataset, round(avg(-ece), 9) AS score FROM cells WHERE dataset <> 'Brand#11' AND NOT (model = 'm2' AND dataset = 'Brand#12') GROUP BY ALL), c AS (SELECT model, dataset, round(avg(acc), 9) AS score FROM cells WHERE dataset <> 'Brand#21' GROUP BY ALL),
@@ -419,9 +419,9 @@ def _operating(spark, sf_dir):
     return pareto.operating(charts.display(points(spark, sf_dir), _NAMES))
 
 
-@query(_OPERATING + " SELECT model, round(acc, 9) AS acc, round(ece, 9) AS ece, round(on_front_rate, 9) AS on_front_rate, on_front, tuned, dominated_by_tuned FROM op")
+@query(_OPERATING + " SELECT model, round(acc, 9) AS acc, round(ece, 9) AS ece, round(on_front_rate, 9) AS on_front_rate, on_front, tuned, CAST(dominated_by_tuned AS VARCHAR) AS dominated_by_tuned FROM op")
 def pareto_operating_points(spark, sf_dir):
-    return r9(_operating(spark, sf_dir))
+    return r9(_operating(spark, sf_dir)).withColumn("dominated_by_tuned", F.col("dominated_by_tuned").cast("string"))
 
 
 @query(_OPERATING + " SELECT model, round(acc, 9) AS acc, round(ece, 9) AS ece, on_front, NOT tuned AS pretrained, coalesce(dominated_by_tuned, false) AS dominated, CASE WHEN on_front THEN row_number() OVER (PARTITION BY on_front ORDER BY acc DESC, model) END AS line_place FROM op")

@@ -134,7 +134,7 @@ def write_subset(spark: SparkSession, path: str, names: list[str], head: dict, c
 
 def write_snapshot(spark: SparkSession, path: str, suite: str, day: str, package: str, n_suite: int, tasks: list[tuple[int, int, str]]) -> None:
     """A frozen suite: how many tasks it has, how many stay, and each with its dataset's id and name behind it."""
-    body = [f"# Static snapshot of {suite}, taken {day}.", f"suite: {suite}", f"snapshot_date: '{day}'", f"openml_package: '{package}'", f"n_tasks_in_suite: {n_suite}", f"n_tasks_after_core_dedup: {len(tasks)}", "tasks:"]
+    body = [f"# {suite} as of {day}: read instead of asking for it again.", f"suite: {suite}", f"snapshot_date: '{day}'", f"openml_package: '{package}'", f"n_tasks_in_suite: {n_suite}", f"n_tasks_after_core_dedup: {len(tasks)}", "tasks:"]
     dump_text(spark, path, "\n".join(body + [f"  - task_id: {t}    # dataset_id={d}  {name}" for t, d, name in tasks]) + "\n")
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks import session
 from gaugeworks.operators import gate, jobs
 from gaugeworks.sources import lists, records
 from gaugeworks.streaming import manifest
@@ -88,7 +90,7 @@ def test_id_tables_and_snapshots(spark, tmp_path):
 
 YAML = """
 # a list
-family: core_hpo20   # renamed
+family: core_twenty   # renamed
 emit_as: core
 k: 20
 ok: true
@@ -114,8 +116,8 @@ def test_yaml(spark, tmp_path):
     (tmp_path / "c.yaml").write_text(YAML)
     c = lists.config(spark, f"file://{tmp_path}/c.yaml")
     assert lists.config(spark, f"file://{tmp_path}/none.yaml") == {} and [r["member"] for r in lists.members(spark, c).collect()] == ["adult", "b # not a comment"]
-    lists.write_subset(spark, f"file://{tmp_path}/sub.yaml", ["b", "a"], {"family": "core_hpo20", "emit_as": "core", "k": 2}, ["drawn"])
-    assert lists.config(spark, f"file://{tmp_path}/sub.yaml") == {"family": "core_hpo20", "emit_as": "core", "k": 2, "datasets": ["a", "b"]}
+    lists.write_subset(spark, f"file://{tmp_path}/sub.yaml", ["b", "a"], {"family": "core_twenty", "emit_as": "core", "k": 2}, ["drawn"])
+    assert lists.config(spark, f"file://{tmp_path}/sub.yaml") == {"family": "core_twenty", "emit_as": "core", "k": 2, "datasets": ["a", "b"]}
     lists.write_snapshot(spark, f"file://{tmp_path}/snap.yaml", "suite", "2024-01-01", "0.1", 3, [(5, 50, "x"), (6, 60, "y")])
     snap = lists.config(spark, f"file://{tmp_path}/snap.yaml")
     assert snap["n_tasks_in_suite"] == 3 and snap["n_tasks_after_core_dedup"] == 2 and [t["task_id"] for t in snap["tasks"]] == [5, 6]
@@ -125,3 +127,12 @@ def test_reports(spark):
     df = spark.createDataFrame([("A1", True, "fine"), ("ALL", False, "G1"), ("G1", False, "2 left")], "id string, passed boolean, message string")
     assert lists.report(df, "Gate").splitlines()[:3] == ["Gate", "====", "id   passed  message"]
     assert lists.verdict_report(df) == "[PASS] A1   fine\n[FAIL] G1   2 left\nGATE FAILED: G1\n"
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    none = SimpleNamespace(get=lambda *_: None)
+    of = lambda master: SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, getConf=lambda: none, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(of(master))
+    assert session.shared_dir(spark) == session.shared_dir(spark) and session.stored(spark.range(3)).count() == 3
