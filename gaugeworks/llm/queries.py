@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, jaccard, langid, licenses, neardup_vectors, oracles, packing, quality, secretscan, warc
+from . import ann, bpe, common, divergence, jaccard, langid, licenses, merkle, mixing, neardup_vectors, oracles, packing, quality, secretscan, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"text": merkle.lowered("text")}, merkle.third("doc_id"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("shard", "shard_size", "shard_blocks", "block")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +88,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
     "op10_nearest": op10_nearest,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 #: DuckDB SQL of those queries whose rows SQL can express.
@@ -87,4 +103,6 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS again FROM f)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
     """,
+    "op11_source_divergence": oracles.DIVERGENCE,
+    "op12_merkle_manifest": oracles.MERKLE,
 }
