@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def key(seed: int | str, row: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+def key(seed: int | str | Column, row: str) -> Column:
+    return F.md5(F.concat_ws(":", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.col(row).cast("string")))
 
 
 def strata(rows: DataFrame, y: str, bins: int = 10, out: str = "stratum") -> DataFrame:
@@ -31,15 +35,46 @@ def places(rows: DataFrame, by: str, row: str, seed: int | str, at: str = "__at"
     return r.withColumn(at, F.col("__before") + F.row_number().over(Window.partitionBy(by, "__b").orderBy("__k", row))).drop("__k", "__b", "__by", "__bb", "__before")
 
 
+def cuts(rows: DataFrame, by: list[str], row: str, seed: int | str | Column, ends: Callable[[Column], list[Column]], out: str = "__part") -> DataFrame:
+    """rows with how many of the places that ends(rows in the group) gives lie before a row's, in its group's md5 order.
+
+    Counts by group and leading bits tell the bucket that holds each end; only these buckets' rows are ranked, and give each group's ends as keys, so that
+    a row's part is a comparison: rows aren't shuffled, and groups may hold any share of them. Groups are few beside rows.
+    """
+    own = rows.select(*by, F.col(row).alias("__row"), key(seed, row).alias("__k")).withColumn("__b", F.conv(F.substring("__k", 1, 3), 16, 10).cast("int"))
+    group = Window.partitionBy(*by)
+    sizes = own.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = sizes.withColumns({"__to": F.sum("__c").over(group.orderBy("__b")), "__n": F.sum("__c").over(group)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), e.cast("long").alias("end")) for j, e in enumerate(ends(F.col("__n")))]))
+    hit = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__b").alias("__bb"), "__c", "__to", wanted.alias("__e")).where("__e.end <= __to and __e.end > __to - __c")
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    near = own.join(hit, reduce(and_, same, F.col("__b") == F.col("__bb")))
+    place = F.row_number().over(Window.partitionBy(*by, "__e.j").orderBy("__k", "__row")) + F.col("__to") - F.col("__c")
+    at = near.withColumn("__place", place).where("__place = __e.end").groupBy(*[F.col(c).alias(f"__by_{c}") for c in by])
+    count = len(ends(F.lit(0)))
+    at = at.agg(*[F.max(F.when(F.col("__e.j") == j, F.struct("__k", "__row"))).alias(f"__end{j}") for j in range(count)])
+    # a group without an end that is 0 or less has no key for it
+    this = F.struct(F.col("__k"), F.col(row).alias("__row"))
+    part = sum((F.coalesce((this > F.col(f"__end{j}")).cast("int"), F.lit(1)) for j in range(count)), F.lit(0))
+    told = rows.withColumn("__k", key(seed, row)).join(at, reduce(and_, same), "left").withColumn(out, part)
+    return told.drop("__k", *[f"__by_{c}" for c in by], *[f"__end{j}" for j in range(count)])
+
+
 def holdout(rows: DataFrame, y: str, row: str, seed: int, train: float = 0.64, val: float = 0.16, continuous: bool = False) -> DataFrame:
     """rows with fold, cut twice: a share of each stratum is train; the remainder's strata, derived anew, are cut into val and test.
 
-    Strata are the values of y or, if it is continuous, its quantile bins. Rows come in md5 order.
+    Strata are the values of y or, if it is continuous, its quantile bins. Rows come in md5 order. The remainder of a value is the rest of its order, so that values need one pass for both cuts.
     """
-    cut = lambda r, share, *names: places(strata(r, y, out="__s") if continuous else r.withColumn("__s", F.col(y)), "__s", row, seed).withColumn("fold", F.when(F.col("__at") <= F.round(F.col("__n") * share), names[0]).otherwise(names[1])).drop("__at", "__n", "__s")
-    first = cut(rows, train, "train", "rest")
-    rest = cut(first.where("fold = 'rest'").drop("fold"), val / (1 - train), "val", "test")
-    return first.where("fold = 'train'").unionByName(rest)
+    rest = val / (1 - train)
+    name = lambda part, *names: F.element_at(F.array(*map(F.lit, names)), part + 1)
+    if not continuous:
+        first = lambda n: F.round(n * train)
+        told = cuts(rows.withColumn("__s", F.col(y)), ["__s"], row, seed, lambda n: [first(n), first(n) + F.round((n - first(n)) * rest)])
+        return told.withColumn("fold", name(F.col("__part"), "train", "val", "test")).drop("__s", "__part")
+    told = cuts(strata(rows, y, out="__s"), ["__s"], row, seed, lambda n: [F.round(n * train)]).withColumnRenamed("__part", "__late").drop("__s")
+    left = told.where("__late = 1").drop("__late")
+    late = cuts(strata(left, y, out="__s"), ["__s"], row, seed, lambda n: [F.round(n * rest)]).withColumn("fold", name(F.col("__part"), "val", "test"))
+    return told.where("__late = 0").drop("__late").withColumn("fold", F.lit("train")).unionByName(late.drop("__s", "__part"))
 
 
 def folds(rows: DataFrame, stratum: str, row: str, seed: int, k: int = 5) -> DataFrame:
@@ -50,7 +85,7 @@ def carve(rows: DataFrame, stratum: str, row: str, seed: int, share: float = 0.1
     """rows with early_stop: a share of each stratum; where any stratum has fewer than two rows, of all rows alike."""
     small = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") < 2).alias("plain"))
     r = rows.crossJoin(F.broadcast(small)).withColumn("__s", F.when(~F.col("plain"), F.col(stratum).cast("string")).otherwise("all"))
-    return places(r, "__s", row, seed).withColumn("early_stop", F.col("__at") <= F.round(F.col("__n") * share)).drop("__s", "plain", "__at", "__n")
+    return cuts(r, ["__s"], row, seed, lambda n: [F.round(n * share)]).withColumn("early_stop", F.col("__part") == 0).drop("__s", "plain", "__part")
 
 
 def honoured(rows: DataFrame, made: DataFrame, row: str, shipped: str = "fold") -> DataFrame:
