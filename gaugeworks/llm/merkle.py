@@ -203,7 +203,8 @@ def manifest(rows: DataFrame, columns: list[str], key: str, group: str, changed:
     trees = places.groupBy("__group").agg(F.count(F.lit(1))).select(F.col("__group").alias("__g"), (F.row_number().over(Window.partitionBy().orderBy(F.col("__group").asc_nulls_first())) - 1).cast("long").alias("tree"), F.count(F.lit(1)).over(Window.partitionBy()).alias("trees"))
     places = places.join(trees, F.col("__group").eqNullSafe(F.col("__g"))).select("part", "tree", "start", "count", "n", "trees")
     places, _ = common.stored(places, "leaf-places")
-    nodes, _ = forests(ordered, places, parts)
+    ranges = places.agg(F.max("part")).first()[0]  # as many as were made, whatever was asked for
+    nodes, _ = forests(ordered, places, 0 if ranges is None else ranges + 1)
     # beside a range's paths: the runs over its first and last leaf at each level, those of its trees in the tree over groups, and the root
     above = lambda x, level: F.expr(f"{x} div cast(power({ARITY}, {level}) as long)")
     levels = lambda n: F.expr(f"sequence(1, 2 + cast(ceil(log({ARITY}, {n})) as int))")  # noqa: E731  one more than there are, so that rounding lacks none
