@@ -65,38 +65,59 @@ def softmax(raw: Column, classes: int) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
 
 
-def padded(proba: Column, ids: Column, classes: int) -> Column:
-    """Probabilities by class id for all classes; those without a column get 0."""
+def _many(classes: int | str) -> Column:
+    """A number of classes, or the column that has it."""
+    return F.col(classes) if isinstance(classes, str) else F.lit(classes)
+
+
+def padded(proba: Column, ids: Column | None, classes: int | str) -> Column:
+    """Probabilities for all classes; those without a column get 0. ids: the classes that columns stand for; without, or where they are as many as no columns, columns are the first classes."""
+    plain = F.transform(F.sequence(F.lit(0), _many(classes).cast("int") - 1), lambda k: F.coalesce(F.get(proba, k), F.lit(0.0)))
+    if ids is None:
+        return plain
     own = F.map_from_arrays(ids, proba)
-    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.try_element_at(own, k), F.lit(0.0)))
+    named = F.transform(F.sequence(F.lit(0), _many(classes).cast("int") - 1), lambda k: F.coalesce(F.try_element_at(own, k), F.lit(0.0)))
+    return F.when(F.size(ids) == F.size(proba), named).otherwise(plain)
+
+
+def sum_deviation(proba: Column) -> Column:
+    """How far a row's probabilities are from a sum of 1."""
+    return F.abs(F.aggregate(proba, F.lit(0.0), lambda a, v: a + v) - 1)
+
+
+def divided(proba: Column) -> Column:
+    """Probabilities over their sum; a sum of 0 counts as 1."""
+    total = F.aggregate(proba, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(proba, lambda v: v / F.when(total == 0, 1.0).otherwise(total))
 
 
 def renormalised(proba: Column) -> dict[str, Column]:
-    """Rows whose sum is off by more than 1e-9 are divided by it (a zero sum by 1); with the deviation."""
+    """Rows whose sum is off by more than 1e-9 are divided by it (a zero sum by 1); with the deviation. Row by row: a record's own decision, by its largest deviation, is cells.record's."""
     total = F.aggregate(proba, F.lit(0.0), lambda a, v: a + v)
     off = F.abs(total - 1)
     return {"proba": F.when(off > 1e-9, F.transform(proba, lambda v: v / F.when(total == 0, 1.0).otherwise(total))).otherwise(proba), "proba_max_sum_deviation": off, "proba_renormalised": off > 1e-9}
 
 
-def multiclass(p: DataFrame, keys: list[str], classes: int) -> DataFrame:
-    """(keys, n, auc, acc, log_loss, brier, pr_auc, ece) of predictions (y, proba). AUC is the mean over pairs of classes, both
+def multiclass(p: DataFrame, keys: list[str], classes: int | str) -> DataFrame:
+    """(keys, n, auc, acc, log_loss, brier, pr_auc, ece) of predictions (y, proba); classes: how many, or the column that has a cell's number. AUC is the mean over pairs of classes, both
     ways, each among the rows of the two; null unless every class occurs. Average precision is the mean over classes, 0 for one that doesn't occur."""
+    p = p.select(*keys, "y", "proba", _many(classes).cast("int").alias("__classes"))
     y, q = F.col("y"), F.col("proba")
     top = F.array_max(q)
     right = F.array_position(q, top) - 1 == y
     own = F.element_at(q, y.cast("int") + 1)
     plain = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("seen"), F.avg(right.cast("double")).alias("acc"), F.avg(-F.log(F.greatest(F.least(own, F.lit(1 - EPS)), F.lit(EPS)))).alias("log_loss"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("seen"), F.max("__classes").alias("__of"), F.avg(right.cast("double")).alias("acc"), F.avg(-F.log(F.greatest(F.least(own, F.lit(1 - EPS)), F.lit(EPS)))).alias("log_loss"),
         F.avg(F.aggregate(F.transform(q, lambda v, k: (v - F.when(k == y, 1.0).otherwise(0.0)) * (v - F.when(k == y, 1.0).otherwise(0.0))), F.lit(0.0), lambda a, v: a + v)).alias("brier"),
     )
-    others = p.select(*keys, "y", "proba", F.explode(F.array(*map(F.lit, range(classes)))).alias("d")).where("d <> y")
+    others = p.select(*keys, "y", "proba", F.explode(F.sequence(F.lit(0), F.col("__classes") - 1)).alias("d")).where("d <> y")
     sides = others.select(*keys, F.least("y", "d").alias("i"), F.greatest("y", "d").alias("j"), F.explode(F.array("y", "d")).alias("side"), "y", "proba")
     pairs = ranking(sides.select(*keys, "i", "j", "side", (F.col("side") == F.col("y")).cast("int").alias("y"), F.element_at("proba", F.col("side").cast("int") + 1).alias("score")), [*keys, "i", "j", "side"])
     auc = pairs.groupBy(*keys).agg(F.avg("auc").alias("auc"))
     rest = p.select(*keys, F.posexplode("proba").alias("k", "score"), "y").select(*keys, "k", (F.col("k") == F.col("y")).cast("int").alias("y"), "score")
     ap = ranking(rest, [*keys, "k"]).groupBy(*keys).agg(F.avg(F.coalesce("pr_auc", F.lit(0.0))).alias("pr_auc"))
     out = plain.join(auc, keys, "left").join(ap, keys).join(calibration_error(p, keys, top, right), keys)
-    return out.withColumn("auc", F.when(F.col("seen") == classes, F.col("auc"))).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
+    return out.withColumn("auc", F.when(F.col("seen") == F.col("__of"), F.col("auc"))).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
 
 
 def crps(z: Column, sigma: Column) -> Column:
