@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_grid, queries_jobs, queries_prep, queries_stats
+from . import queries_cells, queries_grid, queries_jobs, queries_prep, queries_stats
 
-_ALL = (queries_stats, queries_grid, queries_prep, queries_jobs)
+_ALL = (queries_stats, queries_grid, queries_prep, queries_jobs, queries_cells)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
