@@ -177,3 +177,24 @@ def test_sketches_never_exceed_the_difference():
         x, y = (np.unique(rng.integers(0, 1 << 12, int(rng.integers(1, 900)), dtype=np.uint64)) for _ in range(2))
         bits = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(jaccard.sketch(x), jaccard.sketch(y), strict=True))
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_tight_labels_need_no_all_pairs(spark, monkeypatch):
+    """Rows around one direction, nearly no link: keys beside the mean part them, and few rows are in doubt."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 32))
+    x[:, 0] = 0
+    x = np.sqrt(0.2) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(0.8)
+    for k in range(0, 100, 2):
+        x[k + 1] = x[k] + rng.normal(size=32) * 0.02 * (1 + k % 7)
+    asked = []
+    rest = neardup_vectors._rest
+    monkeypatch.setattr(neardup_vectors, "_rest", lambda placed, unsafe, *more: asked.append(unsafe.count()) or rest(placed, unsafe, *more))
+    got = neardup_vectors.deduplicate(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), window=64).collect()
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = z @ z.T >= 0.93
+    want = closed(range(3000), [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    assert sum(asked) < 30
+    assert {(r["vec_id"], r["n_links"]) for r in got} == {(k, int(n) - 1) for k, n in enumerate(near.sum(1))}
+    assert {(r["vec_id"], r["component_id"]) for r in got} == {(k, want[k]) for k in range(3000)}
