@@ -101,6 +101,6 @@ def boosted_cells(spark, sf_dir):
     ship(spark)
     design, told = cells.design(*_parts(spark, sf_dir), (0,))
     asked = [(d, p, m, 0) for d in ("core:dear", "core:price") for p, m in (("cv_standard", "boosted_depth"), ("cv_standard", "boosted_leaves"), ("cv_standard", "boosted_symmetric"), ("cv_standard", "tabicl"), ("matched_hpo", "boosted_leaves"), ("pareto_hpo", "boosted_depth"))]
-    got = cells.run(spark.createDataFrame(asked, "dataset string, protocol string, model string, seed int"), design, told, trials=6, batch=6, search_rounds=20, full_rounds=40)
+    got = cells.run(spark.createDataFrame(asked, "dataset string, protocol string, model string, seed int"), design, told, trials=4, batch=4, search_rounds=10, full_rounds=30)
     # a draw by numpy isn't the same on all machines to the last digit
     return got.select("unit", "status", "task_type", "n_classes", F.size("y_true").alias("n_test"), F.round("metrics.auc", 6).alias("auc"), F.round("metrics.rmse", 6).alias("rmse"), F.round("inner_score", 6).alias("inner_score"), F.round("test_score", 6).alias("test_score"), F.round("optimism_gap", 6).alias("optimism_gap"), F.size("pareto_front").alias("n_points"), F.col("gbdt_es.best_iter").alias("best_iter"))
