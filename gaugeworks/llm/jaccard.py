@@ -4,8 +4,8 @@ A text's set is its distinct shingles of five words; texts link when their sets'
 
 1. Frequencies. Every shingle of every text is counted: tasks count their own, pack sorted hashes, and reducers of hash ranges sum
    them up. Two bit maps of bounded size tell of each shingle whether it occurs again, and whether it occurs in more than
-   `frequent` texts. Once the maps can't grow with the corpus, the bound on frequent shingles does, so that at most a sixteenth of the second map's
-   bits are set. A wrong bit (two shingles may share one) costs time, never a result.
+   `frequent` texts. Where a corpus fills the maps, shingles count as frequent that aren't: they are indexed in combinations then, some three times as many signatures a text, and no list grows
+   for it. A wrong bit (two shingles may share one) costs time, never a result.
 2. Order. Shingles that occur nowhere else come first, then rare ones, then frequent ones; by hash within a class. If a set of n shingles has
    more than n // 5 that occur nowhere else, it has no partner. The others are told apart by a 128-bit hash of the set, so that copies are one row.
 3. Signatures. A partner lacks n // 5 of a set's shingles at most. A prefix of the order is extended until its rare shingles, plus over
@@ -16,7 +16,9 @@ A text's set is its distinct shingles of five words; texts link when their sets'
 4. Sketches. Each set keeps the parity of its shingles in 1024 hashed bits. What two sets share cancels out, so bits that differ are never more than
    shingles that differ; a pair with more of them than a ninth of both sizes can't link and isn't formed.
 5. Verification. In every signature's list, each set is compared with the smallest one first, and components are found; that is done `rounds` times, fewer where
-   few pairs of differing components are left; pairs whose components still differ are compared after that, until no such pair is left. Groups of near copies are so linked by about as many comparisons as they
+   few pairs of differing components are left; pairs whose components still differ are compared after that, until no such pair is left. Lists of more than `hot` sets by then hold what a page frame or
+   a notice joins without a link. Their sets, of all such lists together, are indexed anew: exact counts within them order each set's shingles, and the first n // 5 + 1 of them, which are the rarest there, stand for the list. What is
+   long even so, texts that share nearly 0.8, is dealt to tasks by pairs of parts. Groups of near copies are so linked by about as many comparisons as they
    have members. All comparisons are exact, by whole sets.
 
 Which pairs are compared depends on components alone: a pair that isn't compared is in one component already, so components are those of all links.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -94,8 +96,6 @@ def frequencies(docs: DataFrame, frequent: int, most_bits: int) -> Frequencies:
     about = size // 6 + 1
     bits = min(most_bits, max(16, (about // 2).bit_length()))
     part_bits = min(bits - 6, max(4, (about >> 21).bit_length()))
-    # of `about` shingles no more than about / frequent are frequent
-    frequent = max(frequent, 16 * about >> bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -283,7 +283,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, together: int = 256) -> DataFra
     return centre.unionByName(others).repartition(parts, "a", "g").sortWithinPartitions("a", "g", "role").select("a", "b", "role", "tokens").mapInArrow(run, "a long, b long")
 
 
-def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _parted(left: DataFrame, sets: DataFrame, hot: int) -> DataFrame:
+    """Lists (sig, node, n, root) of more than hot sets give way to lists by single shingles, the rarest of each set among all sets in such lists; only lists of several components stay.
+
+    Two sets that link share one of the first n // 5 + 1 shingles of either, in any one order of all shingles.
+    """
+    large = left.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("sig")
+    large, path = common.stored(large, "large")
+    if not large.limit(1).count():
+        common.drop_stored(left.sparkSession, path)
+        return left
+    pool = left.join(large, "sig", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")).join(sets.select("node", "tokens"), "node")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(t, np.int64) for t in b.column(3).to_pylist()]
+            times = np.array([len(x) for x in own], np.int64)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(np.repeat(np.arange(len(own)), times))) for k in range(3)), pa.array(np.concatenate(own))], names=["node", "n", "root", "token"])
+
+    tokens, _ = common.stored(pool.select("node", "n", "root", "tokens").mapInArrow(every, "node long, n long, root long, token long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+    first = tokens.join(counts, "token").withColumn("place", place).where((F.col("place") <= F.expr("n div 5 + 1")) & (F.col("c") > 1))
+    again = first.select(F.xxhash64(F.lit("hot"), "token").alias("sig"), "node", "n", "root")
+    again, _ = common.stored(again, "again")
+    mixed = again.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return left.join(large, "sig", "left_anti").unionByName(again.join(mixed, "sig", "left_semi"))
+
+
+def _links(sets: DataFrame, lists: DataFrame, rounds: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(links, roots): enough links for the components of all, and these. lists: (sig, node, n, a, an), two nodes or more in each, a the smallest."""
     spark = sets.sparkSession
     fits = (F.col("an") * 4 <= F.col("bn") * 5) & (F.col("bn") * 4 <= F.col("an") * 5)
@@ -304,9 +333,14 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
             if not some:
                 break
             if step == rounds or some <= 4 * sets_left:
-                drawn = now.join(sets.select("node", "sketch"), "node")
-                a, b = (drawn.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r"), F.col("sketch").alias(f"{x}s")) for x in "ab")
-                pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits & may_link("a", "b")).select("a", "b").distinct()
+                now = _parted(now, sets, hot)
+                # a list that is long even so is dealt to tasks by pairs of parts of `hot` sets each
+                long = now.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / hot).alias("parts")).where("parts > 1")
+                drawn = now.join(long, "sig", "left").join(sets.select("node", "sketch"), "node").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+                drawn = drawn.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                drawn = drawn.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+                a, b = (drawn.select("sig", "p", "q", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r"), F.col("sketch").alias(f"{x}s")) for x in "ab")
+                pairs = a.join(b, (a["sig"] == b["sig"]) & (a["p"] == b["p"]) & (a["q"] == b["q"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits & may_link("a", "b")).select("a", "b").distinct()
                 pairs, _ = common.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
                 found, _ = common.stored(_verified(pairs, sets), "found")
                 if found.limit(1).count():
@@ -333,8 +367,11 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int) -> tuple[DataFrame, D
     return links, roots
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs."""
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1, hot: int = 256) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of docs.
+
+    frequent: the texts beyond which a shingle is frequent, whatever the corpus' size; most_bits: the bound on the maps; hot: sets of a list beyond which it is indexed anew.
+    """
     spark = docs.sparkSession
     common.batches(spark)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
@@ -352,7 +389,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int
     lists, _ = common.stored(index.join(first, "sig"), "lists")
     common.drop_stored(spark, index_path)
     common.free(spark)
-    _, roots = _links(sets, lists, rounds)
+    _, roots = _links(sets, lists, rounds, hot)
     freq.unpersist()
     first = names.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node")).join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"))
     out = names.join(first, ["k1", "k2"], "left")

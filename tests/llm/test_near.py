@@ -63,14 +63,38 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,frequent,rounds", [(1, 32, 1), (2, 4, 1), (3, 2, 3), (4, 8, 1)])
-def test_jaccard_join_is_exact(spark, seed, frequent, rounds):
+@pytest.mark.parametrize("seed,frequent,rounds,hot", [(1, 32, 1, 256), (2, 4, 1, 2), (3, 2, 3, 5), (4, 8, 1, 3)])
+def test_jaccard_join_is_exact(spark, seed, frequent, rounds, hot):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("clash"), "t": F.lit(1), "sig": F.lit(None)})
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, frequent=frequent, rounds=rounds).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, frequent=frequent, rounds=rounds, hot=hot).collect()}
     assert got == brute(docs)
 
 
+def test_a_frame_that_many_texts_share_forms_few_pairs(spark, monkeypatch):
+    """A page frame with bodies that occur elsewhere too: no shingle is rare, every list is long, and nearly nothing links."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    frame = words(70)
+    bodies = [words(30) for _ in range(600)]
+    texts = [[*frame, *b] for b in bodies] + [[*words(60), *b] for b in bodies]
+    texts += [[*t[:-1], "other"] for t in texts[:20]]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    longest, parted = [], jaccard._parted
+
+    def watched(left, sets, hot):
+        out = parted(left, sets, hot)
+        longest.append([df.groupBy("sig").count().agg(F.max("count")).first()[0] for df in (left, out)])
+        return out
+
+    monkeypatch.setattr(jaccard, "_parted", watched)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, hot=50, frequent=1, most_bits=10).collect()}  # maps that are full
+    ((before, after),) = longest
+    assert got == brute(docs)
+    assert before > 500 and after <= 3, longest
+
+
 def test_jaccard_nulls_and_empty(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")]
     got = sorted(map(str, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
