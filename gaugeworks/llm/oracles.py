@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .secretscan import ALPHABET, LEAST
+from .secretscan import ALPHABET, KINDS, LEAST
 
 #: Patterns for RE2: letters in either case are spelled out, as its folding knows more than ASCII; leftmost matches of runs begin where runs do.
 _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = f"""({_WORDS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_REPEATED = "|".join(("[" + c + c.upper() + "]" if c.isalpha() else "[" + c + "]") + "{8}" for c in ALPHABET if not c.isupper())
-_ALLOWED = f"(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|example|abcdefgh|01234567|{_REPEATED}"
+_REPEATED = "|".join(("[" + c + c.upper() + "]" if c.isalpha() else "[" + c + "]") + "{8,256}" for c in ALPHABET if not c.isupper())
+_CUT = f"(?i).{{0,40}}example.{{0,40}}|abcdefgh|01234567|{_REPEATED}"
 _BEFORE = """(?i)(sha-?(1|224|256|384|512)|md5|blake2b?|checksum|digest|integrity|commit|etag|uuid|https?://[^\\s]*)[\\s:="''(\\[#@-]*$"""
 
 
@@ -22,12 +22,16 @@ p AS ({_part(0, 'assign', _ASSIGN, 2)} UNION ALL {_part(1, 'access', 'AKIA[A-Z0-
 u AS (SELECT doc_id, rank, kind, unnest(range(1, len(m) + 1)) AS i, unnest(p[:len(m)]) AS part, unnest(m) AS m, unnest(g) AS g FROM p),
 s AS (SELECT *, sum(length(part) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM u),
 base AS (SELECT doc_id, rank, kind, e - length(m) AS s, e FROM s WHERE CASE rank WHEN 0 THEN length(g) >= 6 WHEN 1 THEN length(m) >= 20 WHEN 2 THEN length(m) >= 24 ELSE false END),
-cand AS (SELECT doc_id, m, e - length(m) AS s, e, CASE WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') THEN 3 WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 4 END AS rank
-  FROM s WHERE rank = 3 AND length(m) <= 4096 AND NOT regexp_matches(m, '{_ALLOWED}') AND NOT regexp_matches(right(part, 40), '{_BEFORE}')),
-free AS (SELECT * FROM cand c WHERE rank IS NOT NULL AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s <= c.s AND b.e >= c.e)),
-win AS (SELECT doc_id, s, e, rank, substr(m, k, 20) AS w FROM (SELECT *, unnest(range(1, length(m) - 18)) AS k FROM free)),
-best AS (SELECT doc_id, s, e, rank, max(list_entropy(string_split(w, ''))) AS h FROM win GROUP BY ALL),
-al AS (SELECT doc_id, rank, kind, s, e FROM base UNION ALL SELECT doc_id, rank, CASE rank WHEN 3 THEN 'entropy_hex' ELSE 'entropy_base64' END, s, e FROM best WHERE h >= CASE rank WHEN 3 THEN {LEAST['entropy_hex']!r} ELSE {LEAST['entropy_base64']!r} END),
+cand AS (SELECT doc_id, m, e - length(m) AS s, e FROM s WHERE rank = 3 AND NOT regexp_full_match(m, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') AND NOT regexp_matches(right(part, 40), '{_BEFORE}')),
+free AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s <= c.s AND b.e >= c.e)),
+cut AS (SELECT doc_id, s, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS p, unnest(list_concat(m, [''])) AS m FROM (SELECT doc_id, s, string_split_regex(m, '{_CUT}') AS p, regexp_extract_all(m, '{_CUT}', 0) AS m FROM free)),
+own AS (SELECT doc_id, s + sum(length(p) + length(m)) OVER (PARTITION BY doc_id, s ORDER BY i) - length(p) - length(m) AS s, p FROM cut),
+pc AS (SELECT doc_id, s, length(p) AS n, b, substr(p, b * 64 + 1, 83) AS x FROM (SELECT *, unnest(range(0, (length(p) - 20) // 64 + 1)) AS b FROM own WHERE length(p) >= 20)),
+cl AS (SELECT *, CASE WHEN NOT regexp_matches(x, '[0-9]') OR NOT regexp_matches(x, '[A-Za-z]') THEN NULL WHEN regexp_full_match(x, '[0-9a-f]+|[0-9A-F]+') THEN 3 WHEN regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') THEN 4 WHEN regexp_full_match(x, '[a-z0-9=]+') THEN 5 WHEN regexp_full_match(x, '[A-Z0-9=]+') THEN 6 END AS rank FROM pc),
+best AS (SELECT doc_id, s, n, b, rank, max(list_entropy(string_split(w, ''))) AS h FROM (SELECT *, substr(x, unnest(range(1, length(x) - 18)), 20) AS w FROM cl WHERE rank IS NOT NULL) GROUP BY ALL),
+hit AS (SELECT *, b - row_number() OVER (PARTITION BY doc_id, s, rank ORDER BY b) AS island FROM best WHERE h >= [{', '.join(repr(LEAST[k]) for k in KINDS[3:])}][rank - 2]),
+span AS (SELECT doc_id, rank, s + min(b) * 64 AS s, least(s + max(b) * 64 + 83, s + n) AS e FROM hit GROUP BY doc_id, hit.s, n, rank, island),
+al AS (SELECT doc_id, rank, kind, s, e FROM base UNION ALL SELECT doc_id, rank, [{', '.join(f"'{k}'" for k in KINDS[3:])}][rank - 2], s, e FROM span c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s <= c.s AND b.e >= c.e)),
 g AS (SELECT doc_id, count_if(rank = 0) AS n_assign, count_if(rank = 1) AS n_access, count_if(rank = 2) AS n_hex, string_agg(CASE WHEN rank < 3 THEN concat(kind, ':', s, ':', e) END, ',' ORDER BY s, rank) AS b, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS a FROM al GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """

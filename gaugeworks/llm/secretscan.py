@@ -4,14 +4,14 @@ Base kinds, leftmost and non-overlapping each: `assign` (a key word, an operator
 more), `access` (AKIA and 16 characters or more), `hex` (24 hexadecimal digits or more). Matches that fail a length drop
 after matching, so they still use up their characters.
 
-Added kinds: candidates are maximal runs of 20 characters or more of [A-Za-z0-9+/_=-]. A window of 20 characters slides over
-each; the sum of c * log2(c) over the counts of its characters is kept up to date from the one character that leaves and
-the one that enters, and gives the window's Shannon entropy. The highest one decides by the candidate's character class:
+Added kinds: candidates are maximal runs of 20 characters or more of [A-Za-z0-9+/_=-], in pieces of 83 characters that overlap by 19, so that each window lies in one; a run of up to 83 is one piece. A window of 20 characters slides over
+each piece; the sum of c * log2(c) over the counts of its characters is kept up to date from the one character that leaves and
+the one that enters, and gives the window's Shannon entropy. The highest one decides by the piece's character class:
 `entropy_hex` (hexadecimal digits, letters of one case and digits both present), `entropy_base64` (upper case, lower case and a digit),
 `entropy_lower` and `entropy_upper` (letters of one case, and digits, `=` allowed: base36 keys, base32 seeds).
+Neighbouring pieces of one kind that score are one span, which ends with the run at the latest: one rule for runs of any length.
 An allow-list suppresses added spans: UUIDs, and what follows a digest's, commit's or URL's name, whole; alphabets in order, eight
-equal characters and EXAMPLE keys (40 characters on either side of the word) only where they stand. Runs that hold one of these, and runs of more than 4096 characters, are scored in pieces of 83
-characters that overlap by 19, each by its own class; neighbouring pieces of one kind that score are one span. Other runs are one span whole.
+equal characters and EXAMPLE keys (40 characters on either side of the word) only where they stand: the run is cut there, and each part of 20 characters or more is scored as a run.
 Added spans that lie within a base span are dropped.
 
 Defined results: null and empty texts have no spans. Offsets are in code points, ends exclusive. Spans are in order of start, then
@@ -23,6 +23,7 @@ are kept; a column that has the name of an output is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: LONGEST: of a run that is one span.
-WINDOW, BLOCK, LONGEST = 20, 64, 4096
+WINDOW, BLOCK = 20, 64
 #: Least entropy of the best window, bits a character.
 LEAST = {"entropy_hex": 3.01, "entropy_base64": 3.81, "entropy_lower": 3.65, "entropy_upper": 3.65}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Allow-list: contents that make a run be scored in pieces or, a UUID, not at all; what is cut out before that; what stands right before.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|abcdefgh|01234567|(.)\1{7}"
-UUID = ALLOWED.split("|")[0]
+#: Allow-list: runs that aren't scored; where runs are cut; what stands right before.
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 ALLOWED_PART = r"(?i).{0,40}example.{0,40}|abcdefgh|01234567|(.)\1{7,255}"
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|blake2b?|checksum|digest|integrity|commit|etag|uuid|https?://[^\s]*)[\s:=\"'(\[#@-]*$"
 
@@ -60,16 +59,20 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint,found:string,before:string
 
 def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
     """Spans of the pattern, with what they hold and the 40 characters before; group: the one that has `least` characters."""
-    parts = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # start of match k: all before it, parts 0 to k and matches 0 to k - 1
-    gaps = F.zip_with(parts, whole, lambda p, m: F.struct(F.char_length(p).cast("bigint").alias("p"), F.coalesce(F.char_length(m), F.lit(0)).cast("bigint").alias("m")))
-    at = _starts(F.transform(gaps, lambda g: g.p + g.m))
-    spans = F.zip_with(
-        F.arrays_zip(at.alias("at"), parts.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")), whole,
-        lambda x, m: F.when(m.isNotNull() & (F.char_length(x.g) >= least), F.struct((x.at + F.char_length(x.p)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x.at + F.char_length(x.p) + F.char_length(m)).alias("end"), m.alias("found"), F.right(x.p, F.lit(40)).alias("before"))),
-    )
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: s.isNotNull()).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+    def spans(x: Column) -> Column:
+        # start of match k: all before it, parts 0 to k and matches 0 to k - 1
+        sizes = F.zip_with(x.parts, x.whole, lambda p, m: F.char_length(p).cast("bigint") + F.coalesce(F.char_length(m), F.lit(0)).cast("bigint"))
+        made = F.zip_with(
+            F.arrays_zip(_starts(sizes).alias("at"), x.parts.alias("p")), F.arrays_zip(x.whole.alias("m"), x.kept.alias("g")),
+            lambda a, b: F.when(b.m.isNotNull() & (F.char_length(b.g) >= least), F.struct((a.at + F.char_length(a.p)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (a.at + F.char_length(a.p) + F.char_length(b.m)).alias("end"), b.m.alias("found"), F.right(a.p, F.lit(40)).alias("before"))),
+        )
+        return F.filter(made, lambda s: s.isNotNull()).cast(SPAN)
+
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    cut = F.struct(F.split(text, pattern, -1).alias("parts"), every(0).alias("whole"))
+    with_group = (lambda x: _bound(F.struct(x.parts.alias("parts"), x.whole.alias("whole"), (every(group) if group else x.whole).alias("kept")), spans))
+    return F.when(text.rlike(pattern), _bound(cut, with_group)).otherwise(F.array().cast(SPAN))
 
 
 def best_entropy(run: Column) -> Column:
@@ -88,11 +91,9 @@ def best_entropy(run: Column) -> Column:
         full, old = F.size(x.q) > WINDOW, F.element_at(x.q, 1)
         return F.when(full, F.struct(bump(x.n, old, -1).alias("n"), (x.s + changed(x.n, old, -1)).alias("s"), x.low.alias("low"), F.slice(x.q, F.lit(2), F.lit(WINDOW)).alias("q"))).otherwise(x)
 
-    # Steps are apart, one transform of a single value each, so that no expression is computed twice.
-    then = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     first = WINDOW * math.log2(WINDOW)
     low = lambda x: F.struct(x.n.alias("n"), x.s.alias("s"), F.when(F.size(x.q) == WINDOW, F.least(x.low, x.s - first)).otherwise(x.low).alias("low"), x.q.alias("q"))
-    step = lambda x, k: then(then(enter(x, k), leave), low)
+    step = lambda x, k: _bound(_bound(enter(x, k), leave), low)
     # Blocks overlap by a window less one: each window lies in one block.
     pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(run) - WINDOW, F.lit(0)) / BLOCK).cast("int")), lambda b: F.substring(run, b * BLOCK + 1, F.lit(BLOCK + WINDOW - 1)))
     keys = lambda piece: F.transform(F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -117,15 +118,25 @@ def _scores(run: Column, rank: Column) -> Column:
     return best_entropy(run) >= least
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, wherever f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _stretches(r: Column) -> Column:
     """Spans of a run, piece by piece, between the parts that the allow-list has."""
-    parts, cut = F.split(r.found, ALLOWED_PART, -1), F.regexp_extract_all(r.found, F.lit(ALLOWED_PART), F.lit(0))
-    sizes = F.zip_with(parts, cut, lambda p, m: F.char_length(p).cast("bigint") + F.coalesce(F.char_length(m), F.lit(0)).cast("bigint"))
-    own = F.filter(F.arrays_zip(_starts(sizes).alias("at"), parts.alias("p")), lambda x: F.char_length(x.p) >= WINDOW)
     size = BLOCK + WINDOW - 1
-    count = lambda p: F.floor((F.char_length(p) - WINDOW) / BLOCK).cast("int")
-    rank = lambda piece: F.element_at(F.transform(F.array(_kind_of(piece)), lambda k: F.when(k.isNotNull() & _scores(piece, k), k).otherwise(F.lit(-1))), 1)
-    scored = F.transform(own, lambda x: F.struct(x.at.alias("at"), F.char_length(x.p).alias("n"), F.transform(F.transform(F.sequence(F.lit(0), count(x.p)), lambda b: F.substring(x.p, b * BLOCK + 1, F.lit(size))), rank).alias("h")))
+    alone = F.array(F.struct(F.lit(0).cast("bigint").alias("at"), r.found.alias("p")))
+
+    def cut() -> Column:
+        parts, gone = F.split(r.found, ALLOWED_PART, -1), F.regexp_extract_all(r.found, F.lit(ALLOWED_PART), F.lit(0))
+        sizes = F.zip_with(parts, gone, lambda p, m: F.char_length(p).cast("bigint") + F.coalesce(F.char_length(m), F.lit(0)).cast("bigint"))
+        return F.filter(F.arrays_zip(_starts(sizes).alias("at"), parts.alias("p")), lambda x: F.char_length(x.p) >= WINDOW)
+
+    own = F.when(r.found.rlike(ALLOWED_PART), cut()).otherwise(alone)
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(x.p) - WINDOW) / BLOCK).cast("int")), lambda b: F.substring(x.p, b * BLOCK + 1, F.lit(size)))
+    rank = lambda piece: _bound(_kind_of(piece), lambda k: F.when(k.isNotNull() & _scores(piece, k), k).otherwise(F.lit(-1)))
+    scored = F.transform(own, lambda x: F.struct(x.at.alias("at"), F.char_length(x.p).alias("n"), F.transform(pieces(x), rank).alias("h")))
 
     def spans(x: Column) -> Column:
         h = lambda k: F.coalesce(F.get(x.h, k), F.lit(-1))
@@ -148,12 +159,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     within = lambda r: F.exists("base", lambda b: (b.start <= r.start) & (b.end >= r.end))
     out = out.withColumn("run", F.filter("run", lambda r: ~r.found.rlike(UUID) & ~r.before.rlike(ALLOWED_BEFORE) & ~within(r)))
-    whole = lambda r: (F.char_length(r.found) <= LONGEST) & ~r.found.rlike(ALLOWED)
-    free = F.transform(F.filter("run", whole), lambda r: F.struct(r.start.alias("start"), _kind_of(r.found).alias("rank"), r.end.alias("end"), r.found.alias("found")))
-    out = out.withColumn("free", F.filter(free, lambda r: r["rank"].isNotNull()))
-    out = out.withColumn("more", F.transform(F.filter("free", lambda r: _scores(r.found, r["rank"])), lambda r: F.struct(r.start.alias("start"), r["rank"].alias("rank"), r.end.alias("end"))))
-    out = out.withColumn("pieces", F.flatten(F.transform(F.filter("run", lambda r: ~whole(r)), _stretches)))
-    out = out.withColumn("more", F.concat("more", F.filter("pieces", lambda r: ~within(r))))
+    out = out.withColumn("more", F.filter(F.flatten(F.transform("run", _stretches)), lambda r: ~within(r)))
     named = lambda a: F.transform(a, lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))
     out = out.withColumn("named", named(F.col("base"))).withColumn("found", F.array_sort(F.concat("named", named(F.col("more")))))
     return out.select(*[F.col("row")[c].alias(c) for c in kept], F.col("named").alias("base"), "found")
