@@ -367,10 +367,10 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int, hot: int) -> tuple[Da
     return links, roots
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1, hot: int = 256) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", frequent: int = 32, most_bits: int = 28, rounds: int = 1, hot: int = 2048) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs.
 
-    frequent: the texts beyond which a shingle is frequent, whatever the corpus' size; most_bits: the bound on the maps; hot: sets of a list beyond which it is indexed anew.
+    frequent: the texts beyond which a shingle is frequent, whatever the corpus' size; most_bits: the bound on the maps; hot: sets of a list beyond which it is indexed anew; below about twice the shingles of a set, pairs are cheaper.
     """
     spark = docs.sparkSession
     common.batches(spark)

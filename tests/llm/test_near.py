@@ -63,7 +63,7 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,frequent,rounds,hot", [(1, 32, 1, 256), (2, 4, 1, 2), (3, 2, 3, 5), (4, 8, 1, 3)])
+@pytest.mark.parametrize("seed,frequent,rounds,hot", [(1, 32, 1, 2048), (2, 4, 1, 2), (3, 2, 3, 5), (4, 8, 1, 3)])
 def test_jaccard_join_is_exact(spark, seed, frequent, rounds, hot):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("clash"), "t": F.lit(1), "sig": F.lit(None)})
