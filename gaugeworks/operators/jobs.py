@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import importlib.resources
 import json
 import os
 import platform
+import select
 import signal
 import socket
 import sys
-import threading
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks import session
+
 # ---- tokens
 
 
@@ -127,6 +131,40 @@ def leg(axes: dict[str, list], units: list[str], timeout_s: int, env: dict, shar
     return {"run_started": now or datetime.now(timezone.utc).isoformat(timespec="seconds"), "hostname": env["hostname"], "shard": shard, "no_resume": no_resume, "same_host_shards": same_host_shards, "env": env, "axes": axes, "units": units, "timeout_s": timeout_s}
 
 
+def worker_stamps(spark: SparkSession, packages: tuple[str, ...] = ("pyspark", "numpy", "pandas", "pyarrow"), slots: int | None = None) -> DataFrame:
+    """(slot, host, pid, python, prefix, code_sha256, versions) of each slot of the executors, asked in one barrier stage, so that all are asked at once; code_sha256 is that of this package as the worker has it.
+
+    slots: how many tasks there are, no more than run at a time; all of them by default. The columns are what gate.homogeneous reads.
+    """
+    session.ship(spark)
+
+    def ask(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        env = fingerprint(packages)
+        for b in batches:
+            yield pd.DataFrame({"slot": b["id"], "host": env["hostname"], "pid": os.getpid(), "python": env["python"], "prefix": env["prefix"], "code_sha256": package_digest(), "versions": [env["versions"]] * len(b)})
+
+    n = slots or spark.sparkContext.defaultParallelism
+    return spark.range(0, n, 1, n).mapInPandas(ask, "slot long, host string, pid long, python string, prefix string, code_sha256 string, versions map<string,string>", barrier=True)
+
+
+def package_digest(package: str = "gaugeworks") -> str:
+    """The first 16 digits of the SHA-256 of a package's modules, from a folder or a zip file."""
+    digest = hashlib.sha256()
+
+    def walk(folder, name: str) -> None:
+        for x in sorted(folder.iterdir(), key=lambda x: x.name):
+            if x.is_dir() and x.name != "__pycache__":
+                walk(x, f"{name}/{x.name}")
+            elif x.name.endswith(".py"):
+                digest.update(f"{name}/{x.name}".encode())
+                digest.update(x.read_bytes())
+
+    walk(importlib.resources.files(package), package)
+    return digest.hexdigest()[:16]
+
+
 # ---- cells
 
 
@@ -135,61 +173,90 @@ def memory_hint(status: str | None, exit_code: int | None) -> str | None:
     return "killed by signal 9: most likely out of memory" if status is None and exit_code in (-9, 137) else None
 
 
-def execute(spark: SparkSession, cells: DataFrame, work: Callable[[dict], dict], timeout_s: float | None = None) -> DataFrame:
-    """cells (unit, dataset, protocol, model, seed) with status, started, finished, wall_s and record: what work gives for each cell, as JSON.
+def _apart(work: Callable[[dict], dict], cell: dict, timeout_s: float | None) -> tuple[str, dict, int]:
+    """Status, record and exit code of work(cell) in a process of its own, which is killed, with all that it started, at the limit.
 
-    One cell's error is its status, error:Type, and the rest go on; so is a timeout, error:Timeout. work returns a dictionary with or without a status.
-    Each cell is one row of a task, so that cells are spread like rows.
+    The process is the first that the kernel ends when memory runs out, so that the task goes on. Its record comes back through a pipe; one that ends without any is error:Killed by a signal, error:Exit otherwise.
     """
-    names = ["unit", "dataset", "protocol", "model", "seed"]
-
-    def one(cell: dict) -> tuple[str, dict]:
-        timed = timeout_s and threading.current_thread() is threading.main_thread()
-
-        def late(*_):
-            raise TimeoutError
-
+    back, into = os.pipe()
+    child = os.fork()
+    if child == 0:
+        code = 1
         try:
-            if timed:
-                before = signal.signal(signal.SIGALRM, late)
-                signal.setitimer(signal.ITIMER_REAL, timeout_s)
+            os.close(back)
+            os.setsid()
+            try:
+                with open("/proc/self/oom_score_adj", "w") as f:
+                    f.write("1000")
+            except OSError:
+                pass
             try:
                 got = work(cell) or {}
-            finally:
-                if timed:
-                    signal.setitimer(signal.ITIMER_REAL, 0)
-                    signal.signal(signal.SIGALRM, before)
-            return str(got.get("status") or "ok"), got
-        except TimeoutError:
-            return "error:Timeout", {}
-        except MemoryError:
-            return "error:MemoryError", {}
-        except Exception as e:  # any error of a cell is that cell's result
-            return f"error:{type(e).__name__}", {"msg": str(e)[:2000]}
+                told = {"status": str(got.get("status") or "ok"), "record": got}
+            except MemoryError:
+                told = {"status": "error:MemoryError", "record": {}}
+            except Exception as e:  # any error of a cell is that cell's result
+                told = {"status": f"error:{type(e).__name__}", "record": {"msg": str(e)[:2000]}}
+            with os.fdopen(into, "wb") as f:
+                f.write(json.dumps(told, default=str).encode())
+            code = 0
+        finally:
+            os._exit(code)  # nothing of the worker's own is run or flushed
+    os.close(into)
+    end, parts, late = None if timeout_s is None else time.monotonic() + timeout_s, [], False
+    with os.fdopen(back, "rb", buffering=0) as f:
+        while True:
+            left = None if end is None else max(0.0, end - time.monotonic())
+            if not select.select([f], [], [], left)[0]:
+                late = True
+                break
+            if not (part := f.read(1 << 16)):
+                break
+            parts.append(part)
+    try:
+        os.killpg(child, signal.SIGKILL)  # what it started ends with it
+    except ProcessLookupError:
+        pass
+    if late:
+        os.kill(child, signal.SIGKILL)
+    code = os.waitstatus_to_exitcode(os.waitpid(child, 0)[1])
+    if late:
+        return "error:Timeout", {}, code
+    try:
+        told = json.loads(b"".join(parts))
+        return told["status"], told["record"], 0  # it has told all; how it ended after that doesn't matter
+    except ValueError:
+        return ("error:Killed" if code < 0 else "error:Exit"), {"msg": memory_hint(None, code) or f"exit code {code}"}, code
+
+
+def execute(spark: SparkSession, cells: DataFrame, work: Callable[[dict], dict], timeout_s: float | None = None) -> DataFrame:
+    """cells (unit, dataset, protocol, model, seed) with status, started, finished, wall_s, exit_code and record: what work gives for each cell, as JSON.
+
+    Each cell runs in a child process of its task: native code is stopped at the limit too (error:Timeout), and a cell that is killed, by the kernel for its memory or by itself, is error:Killed with its exit code, and the rest go on. A cell's error is its
+    status, error:Type. work gets all columns of cells in a dictionary and returns one with or without a status; it must not use Spark. Each cell is one row of a task, so that cells are spread like rows.
+    """
+    names = ["unit", "dataset", "protocol", "model", "seed"]
+    every = cells.columns
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            out = {k: [] for k in ("status", "started", "finished", "wall_s", "record")}
-            for row in b[names].itertuples(index=False):
-                cell = {k: v.item() if hasattr(v, "item") else v for k, v in zip(names, row, strict=True)}
+            out = {k: [] for k in ("status", "started", "finished", "wall_s", "exit_code", "record")}
+            for row in b[every].itertuples(index=False, name=None):
+                cell = {k: v.item() if hasattr(v, "item") and getattr(v, "ndim", 0) == 0 else v for k, v in zip(every, row, strict=True)}
                 t0 = datetime.now(timezone.utc)
-                status, got = one(cell)
+                status, got, code = _apart(work, cell, timeout_s)
                 t1 = datetime.now(timezone.utc)
-                for k, v in zip(out, (status, t0.isoformat(), t1.isoformat(), (t1 - t0).total_seconds(), json.dumps(cell | got | {"status": status}, default=str)), strict=True):
+                record = json.dumps({k: cell[k] for k in names} | got | {"status": status}, default=str)
+                for k, v in zip(out, (status, t0.isoformat(), t1.isoformat(), (t1 - t0).total_seconds(), code, record), strict=True):
                     out[k].append(v)
             yield b[names].assign(**out)
 
-    kind = "unit string, dataset string, protocol string, model string, seed int, status string, started string, finished string, wall_s double, record string"
+    kind = "unit string, dataset string, protocol string, model string, seed int, status string, started string, finished string, wall_s double, exit_code int, record string"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cells.select(*names).repartition(parts, "unit").mapInPandas(run, kind)
+    return cells.repartition(parts, "unit").mapInPandas(run, kind)
 
 
 def todo(spark: SparkSession, cells: DataFrame, done: DataFrame, resume: bool = True) -> DataFrame:
     """Cells to run: all of them, or, to resume, those without an ok row in done."""
     return cells.join(done.where("status = 'ok'").select("unit"), "unit", "left_anti") if resume else cells
 
-
-def threads(n: int) -> None:
-    """Caps the threads of numerical libraries that a cell's work will load."""
-    for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "NUMEXPR_NUM_THREADS"):
-        os.environ[k] = str(n)

@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import EPS, bin_of, normal_cdf
 
+from . import prefix
 
-def _swept(tied: DataFrame, keys: list[str]) -> DataFrame:
-    """tied (keys, s, pos, n) with below, the negatives of lower scores, and tp and seen, the positives and rows of this score or higher: one sort for all."""
-    part = Window.partitionBy(*keys)
-    up, pos, n = part.orderBy("s"), F.col("pos"), F.col("n")
-    t = tied.withColumn("__p", F.sum(pos).over(up)).withColumn("__n", F.sum(n).over(up)).withColumn("__ap", F.sum(pos).over(part)).withColumn("__an", F.sum(n).over(part))
+
+def _swept(tied: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
+    """tied (keys, s, pos, n) with below, the negatives of lower scores, and tp and seen, the positives and rows of this score or higher: one sort for all.
+
+    spread: by ranges of scores, so that a cell of many distinct scores is not one task's; it takes a pass more.
+    """
+    pos, n = F.col("pos"), F.col("n")
+    if spread:
+        t = prefix.running(tied, keys, ["s"], {"__p": pos, "__n": n}).withColumnsRenamed({"__p_all": "__ap", "__n_all": "__an"})
+    else:
+        part = Window.partitionBy(*keys)
+        up = part.orderBy("s")
+        t = tied.withColumn("__p", F.sum(pos).over(up)).withColumn("__n", F.sum(n).over(up)).withColumn("__ap", F.sum(pos).over(part)).withColumn("__an", F.sum(n).over(part))
     return t.withColumn("below", F.col("__n") - n - (F.col("__p") - pos)).withColumn("tp", F.col("__ap") - F.col("__p") + pos).withColumn("seen", F.col("__an") - F.col("__n") + n)
 
 
@@ -32,9 +41,9 @@ def _areas() -> list[Column]:
     ]
 
 
-def ranking(p: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
+def ranking(p: DataFrame, keys: list[str], y: str = "y", score: str = "score", spread: bool = False) -> DataFrame:
     """(keys, auc, pr_auc): area under the ROC curve with ties, null for one class; average precision over distinct scores, null without positives."""
-    return _swept(_tied(p, keys, y, score), keys).groupBy(*keys).agg(*_areas())
+    return _swept(_tied(p, keys, y, score), keys, spread).groupBy(*keys).agg(*_areas())
 
 
 def calibration_error(p: DataFrame, keys: list[str], conf: Column, right: Column, bins: int = 15) -> DataFrame:
@@ -44,13 +53,13 @@ def calibration_error(p: DataFrame, keys: list[str], conf: Column, right: Column
     return per.groupBy(*keys).agg((F.sum(F.when(F.col("b").isNotNull(), F.abs(F.col("r") - F.col("c"))).otherwise(0.0)) / F.sum("n")).alias("ece"))
 
 
-def binary(p: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
+def binary(p: DataFrame, keys: list[str], bins: int = 15, spread: bool = False) -> DataFrame:
     """(keys, n, auc, acc, log_loss, brier, pr_auc, ece) of binary predictions (y, score: probability of 1).
 
-    All of them are sums over the counts of equal scores: the predictions are read once.
+    All of them are sums over the counts of equal scores: the predictions are read once. spread: for cells that may hold most predictions, with as many scores; the same figures.
     """
     s, pos, n = F.col("s"), F.col("pos"), F.col("n")
-    t = _swept(_tied(p, keys), keys).withColumn("right", F.when(s > 0.5, pos).otherwise(n - pos)).withColumn("conf", F.greatest(s, 1 - s))
+    t = _swept(_tied(p, keys), keys, spread).withColumn("right", F.when(s > 0.5, pos).otherwise(n - pos)).withColumn("conf", F.greatest(s, 1 - s))
     t = t.withColumn("bin", bin_of(F.col("conf"), bins)).withColumn("off", F.col("right") - n * F.col("conf"))
     log = lambda q: -F.log(F.greatest(F.least(q, F.lit(1 - EPS)), F.lit(EPS)))
     error = sum((F.abs(F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("off"))), F.lit(0.0))) for k in range(bins)), F.lit(0.0))

@@ -9,17 +9,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import quantiles
+
 
 def key(seed: int | str | Column, row: str) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.col(row).cast("string")))
 
 
 def strata(rows: DataFrame, y: str, bins: int = 10, out: str = "stratum") -> DataFrame:
-    """rows with quantile bins of y (right-closed, the lowest edge included, equal edges once); as many as there are distinct values at most."""
+    """rows with quantile bins of y (right-closed, the lowest edge included, equal edges once); as many as there are distinct values at most. Edges are exact, by refined histograms."""
     few = rows.select(y).where(F.col(y).isNotNull()).distinct().limit(bins).count()
     q = max(1, min(bins, few))
-    e = rows.agg(F.array_distinct(F.percentile(y, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("__e"))
-    return rows.crossJoin(F.broadcast(e)).withColumn(out, F.greatest(F.size(F.filter("__e", lambda x: x < F.col(y))) - 1, F.lit(0))).drop("__e")
+    edges = sorted(set(quantiles(rows, y, [k / q for k in range(q + 1)]) or []))
+    at = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
+    return rows.withColumn(out, F.greatest(F.size(F.filter(at, lambda x: x < F.col(y))) - 1, F.lit(0)))
 
 
 def places(rows: DataFrame, by: str, row: str, seed: int | str, at: str = "__at", n: str = "__n") -> DataFrame:
@@ -96,11 +99,10 @@ def honoured(rows: DataFrame, made: DataFrame, row: str, shipped: str = "fold")
 
 
 def temporal(rows: DataFrame, when: str, train: float = 0.64, val: float = 0.16) -> DataFrame:
-    """rows with fold by the time's quantiles; the seed doesn't move it."""
+    """rows with fold by the time's quantiles, exact by refined histograms; the seed doesn't move it. A row without a time is in test."""
     seconds = F.unix_timestamp(F.col(when).cast("timestamp"))
-    cut = rows.agg(F.percentile(seconds, F.array(F.lit(train), F.lit(train + val))).alias("__c"))
-    r = rows.crossJoin(F.broadcast(cut))
-    return r.withColumn("fold", F.when(seconds <= F.col("__c")[0], "train").when(seconds <= F.col("__c")[1], "val").otherwise("test")).drop("__c")
+    first, last = quantiles(rows.select(seconds.alias("t")), "t", [train, train + val]) or (0.0, 0.0)
+    return rows.withColumn("fold", F.when(seconds <= first, "train").when(seconds <= last, "val").otherwise("test"))
 
 
 def subsample(rows: DataFrame, row: str, n: int, seed: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import unit
 from gaugeworks.operators import jobs
-from gaugeworks.session import table
+from gaugeworks.session import stored, table
+from gaugeworks.sources import records
 
 from .derived import CELLS, derived, duck
 
@@ -120,16 +121,39 @@ def family_tokens(spark, sf_dir):
     return jobs.expand("core_subset", {"emit_as": "core", "resolve": "static_snapshot", "max_datasets": 12}, members)
 
 
-@query(f"""WITH c AS ({C}), u AS (SELECT DISTINCT dataset || '__' || protocol || '__' || model || '__seed' || seed AS unit, dataset, protocol, model, seed FROM c)
-SELECT unit, CASE WHEN seed = 4 THEN 'error:ValueError' WHEN model = 'm3' THEN 'skipped_class_cap' ELSE 'ok' END AS status, CASE WHEN seed = 4 THEN 'seed 4' END AS msg FROM u""")
+@query(f"""WITH c AS ({C}), u AS (SELECT dataset || '__' || protocol || '__' || model || '__seed' || seed AS unit, model, seed, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS deviation FROM c JOIN orders ON row_id = o_orderkey GROUP BY ALL)
+SELECT unit, CASE WHEN seed = 4 THEN 'error:ValueError' WHEN model = 'm3' THEN 'skipped_class_cap' ELSE 'ok' END AS status, CASE WHEN seed = 4 THEN concat('seed 4 of ', n, ' rows') END AS msg,
+  CASE WHEN seed <> 4 AND model <> 'm3' THEN mean END AS mean, CASE WHEN seed <> 4 AND model <> 'm3' THEN deviation END AS deviation FROM u""")
 def cell_execution(spark, sf_dir):
-    """Every declared cell is run: one seed raises, one system is skipped, the rest go on."""
-    c = derived(spark, sf_dir, CELLS).select("dataset", "protocol", "model", "seed").distinct()
+    """Every declared cell is run on its own rows, in a process of its own: one seed raises, one system is skipped, the rest go on."""
+    c = derived(spark, sf_dir, CELLS).select("dataset", "protocol", "model", "seed", F.col("row_id").alias("o_orderkey")).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    c = c.groupBy("dataset", "protocol", "model", "seed").agg(F.collect_list("o_totalprice").alias("y"))
     c = c.withColumn("unit", unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")))
 
     def work(cell: dict) -> dict:
+        y = cell["y"]
         if cell["seed"] == 4:
-            raise ValueError("seed 4")
-        return {"status": "skipped_class_cap"} if cell["model"] == "m3" else {"score": 1.0}
-
-    return jobs.execute(spark, c, work, timeout_s=30).select("unit", "status", F.get_json_object("record", "$.msg").alias("msg"))
+            raise ValueError(f"seed 4 of {len(y)} rows")
+        if cell["model"] == "m3":
+            return {"status": "skipped_class_cap"}
+        return {"mean": round(float(y.mean()), 4), "deviation": round(float(y.std()), 4)}
+
+    told = lambda k, t: F.get_json_object("record", f"$.{k}").cast(t).alias(k)
+    return jobs.execute(spark, c, work, timeout_s=30).select("unit", "status", told("msg", "string"), told("mean", "double"), told("deviation", "double"))
+
+
+@query(f"WITH c AS ({C}) SELECT count(*) AS n_cells, count_if(status = 'ok') AS n_ok, count_if(status LIKE 'error:%') AS n_error, count(DISTINCT dataset) AS n_datasets FROM c")
+def observed_counts(spark, sf_dir):
+    """Headline counts told by the scan that stores the cells, without a second one."""
+    c = derived(spark, sf_dir, CELLS)
+    seen = records.Counted(n_cells=F.count(F.lit(1)), n_ok=F.count_if(F.col("status") == "ok"), n_error=F.count_if(F.startswith("status", F.lit("error:"))), datasets=F.collect_set("dataset"))
+    told = seen.after(stored(seen.of(c), "cells"))
+    return spark.createDataFrame([(told["n_cells"], told["n_ok"], told["n_error"], len(told["datasets"]))], "n_cells long, n_ok long, n_error long, n_datasets long")
+
+
+@query("SELECT concat('worker', user_id % 4) AS host, count(*) AS n FROM events GROUP BY ALL")
+def stamped_workers(spark, sf_dir):
+    """Events dealt to four workers by name: the count of each that a stamp of every slot is joined to."""
+    slots = jobs.worker_stamps(spark, slots=1).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.col("code_sha256").isNotNull().alias("stamped"))
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(slots.where("stamped"), "k").select(F.concat(F.lit("worker"), "k").alias("host"), "n")

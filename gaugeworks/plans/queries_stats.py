@@ -114,6 +114,12 @@ def cell_metrics_binary(spark, sf_dir):
     return r9(cells(spark, sf_dir))
 
 
+@query(f"WITH {CELLS_SQL} SELECT model, dataset, seed, n, {_R('auc acc log_loss brier pr_auc ece')} FROM cells")
+def cell_metrics_spread(spark, sf_dir):
+    """As cell_metrics_binary, by ranges of scores: a cell of any size is spread over all tasks."""
+    return r9(metrics.binary(derived(spark, sf_dir, PRED_BIN), CELL, spread=True))
+
+
 @query(f"WITH {REG_SQL} SELECT model, dataset, seed, n, {_R('rmse mae r2')}, has_predictive_sigma FROM reg")
 def cell_metrics_regression(spark, sf_dir):
     return r9(metrics.regression(derived(spark, sf_dir, PRED_REG), CELL).drop("crps_gaussian"))

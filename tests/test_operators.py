@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 
 import pytest
@@ -243,6 +244,22 @@ def test_cells_run_to_a_status(spark):
 
     got = {r["unit"]: r["status"] for r in jobs.execute(spark, cells, work, timeout_s=1).collect()}
     assert got == {"u0": "ok", "u1": "error:KeyError", "u2": "error:Timeout", "u3": "skipped_x"}
+
+    def harsh(cell):
+        if cell["seed"] == 0:  # native code that doesn't see signals handled in Python
+            import ctypes
+
+            ctypes.PyDLL(None).sleep(20)
+        if cell["seed"] == 1:
+            os.kill(os.getpid(), 9)
+        if cell["seed"] == 2:
+            os._exit(7)
+        return {"own": os.getpid(), "beside": cell["beside"], "long": "x" * 300_000}
+
+    ran = {r["unit"]: r for r in jobs.execute(spark, cells.withColumn("beside", F.lit(5)), harsh, timeout_s=2).collect()}
+    assert [(ran[f"u{k}"]["status"], ran[f"u{k}"]["exit_code"]) for k in range(4)] == [("error:Timeout", -9), ("error:Killed", -9), ("error:Exit", 7), ("ok", 0)]
+    assert ran["u0"]["wall_s"] < 10 and "memory" in json.loads(ran["u1"]["record"])["msg"] and json.loads(ran["u3"]["record"])["beside"] == 5
+    assert not [r for r in jobs.execute(spark, cells.limit(0), work).collect()]
     assert jobs.memory_hint(None, -9) and jobs.memory_hint("ok", 0) is None
     assert jobs.todo(spark, cells, spark.createDataFrame([("u0", "ok"), ("u1", "error:X")], "unit string, status string")).count() == 3
     env = jobs.fingerprint(("pyspark", "no-such-package"), (__file__,))
