@@ -5,8 +5,8 @@ scaled to that length, a zero; then a larger inner product is a smaller distance
 one for each random direction. A query puts a window around its own projection in every array; vectors inside
 collide once for each: they are counted over the rows' places in the sorted arrays, for all arrays at once. Virtual rehashing widens all windows by one factor after
 another, from a width a little below what the block's query before needed, and vectors whose collisions
-reach `share` of the arrays are verified by their inner product in double precision. A block is done when `verified` of its rows, and `least`
-rows at least, have been verified. That target is a share, never a cap: vectors that reach the threshold in the same step are all verified.
+reach `share` of the arrays are verified by their inner product in double precision. A block is done when `verified` of its rows, and `least` rows
+for each neighbour asked for at least, have been verified. That target is a share, never a cap: vectors that reach the threshold in the same step are all verified.
 
 Rows are dealt to blocks by a hash of their id, queries to blocks of their own; each pair of blocks is one task's work, and keeps the k best of each query.
 Recall on the test tables is in the README.
@@ -43,7 +43,7 @@ class Block:
         np.put_along_axis(self.place, order, np.arange(len(x), dtype=self.place.dtype)[None, :], 1)
         self.width = 0.5
 
-    def candidates(self, q: np.ndarray, share: float, verified: int, factor: float = 1.05) -> np.ndarray:
+    def candidates(self, q: np.ndarray, share: float, verified: int, factor: float = 1.02) -> np.ndarray:
         """Rows whose collisions reach the threshold at the first width at which `verified` rows do."""
         m, n = self.place.shape
         if n <= verified:
@@ -75,7 +75,7 @@ class Block:
         return self.ids[at][first], score[first]
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 128, share: float = 0.75, verified: float = 0.2, least: int = 1024, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 192, share: float = 0.8, verified: float = 0.15, least: int = 8, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row for which is_query (over id) holds."""
     common.batches(rows.sparkSession)
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -99,7 +99,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", v
         if query.any() and not query.all():
             order = np.argsort(ids[~query])
             block = Block(ids[~query][order], v[~query][order], projections, seed)
-            target = max(least, int(np.ceil(verified * len(order))))
+            target = max(least * k, int(np.ceil(verified * len(order))))
             at = np.argsort(ids[query])
             for q, x in zip(ids[query][at], v[query][at], strict=True):
                 got, score = block.best(q, x, k, share, target)

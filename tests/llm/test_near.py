@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import ann, common, jaccard, neardup_vectors
+from gaugeworks.llm import ann, common, jaccard, neardup_vectors, queries
 
 
 def closed(n, links):
@@ -179,7 +179,7 @@ def test_nearest(spark):
     rows.append(rows[3])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1))
     got = defaultdict(list)
-    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=7, least=60, data_block=200, query_block=10).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=7, least=9, data_block=200, query_block=10).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert r["rank"] == len(got[r["query_id"]])
     ok = {i: np.array(v, np.float64) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
@@ -222,3 +222,24 @@ def test_tight_labels_need_no_all_pairs(spark, monkeypatch):
     assert sum(asked) < 30
     assert {(r["vec_id"], r["n_links"]) for r in got} == {(k, int(n) - 1) for k, n in enumerate(near.sum(1))}
     assert {(r["vec_id"], r["component_id"]) for r in got} == {(k, want[k]) for k in range(3000)}
+
+
+def test_nearest_as_shipped(spark):
+    """Recall of the query itself against brute force, and how many rows it verifies."""
+    folder = "/root/testdata/sf0.1"
+    best = ann.Block.candidates
+    own = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r["embedding"] and all(c is not None and np.isfinite(c) for c in r["embedding"]) and any(r["embedding"])}
+    ids, x = np.array(sorted(own)), np.array([own[k] for k in sorted(own)], float)
+    got = {}
+    for r in queries.op10_nearest(spark, folder).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [k for k in range(len(ids)) if ids[k] % 20 == 0]
+    hits = 0
+    for k in asked:
+        score = x @ x[k]
+        score[k] = -np.inf
+        hits += len(got[ids[k]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert len(got) == len(asked) and hits / (20 * len(asked)) >= 0.94
+    block = ann.Block(ids, x, 192, 5)
+    seen = [len(best(block, x[k], 0.8, max(160, int(np.ceil(0.15 * len(ids)))))) / len(ids) for k in asked]
+    assert np.mean(seen) < 0.2
