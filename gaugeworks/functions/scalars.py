@@ -40,6 +40,16 @@ def score_of(task_type: Column, names: dict[str, str]) -> Column:
     return F.when(group == "regression", value(names["regression"])).otherwise(value(names["classification"]))
 
 
+def four_digits(x: Column) -> Column:
+    """Text with four significant digits at most, ties away from zero, without zeros at the end; powers of ten below the fourth place or from the fifth digit on."""
+    parts = F.split(F.format_string("%.3e", x.cast("double")), "e")
+    power = F.get(parts, F.lit(1)).cast("int")
+    short = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    plain = F.coalesce(*[F.when(power == k, F.format_string(f"%.{3 - k}f", x.cast("double"))) for k in range(-4, 4)])
+    far = F.concat(short(F.get(parts, F.lit(0))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(F.isnan(x), "nan").when(x == 0, "0").when(power.between(-4, 3), short(plain)).otherwise(far)
+
+
 def family(dataset: Column) -> Column:
     return F.split_part(dataset, F.lit(":"), F.lit(1))
 
@@ -73,8 +83,9 @@ def erf(x: Column) -> Column:
     return F.when(F.abs(x) > 5, F.signum(x)).otherwise(a * x * F.exp(-x * x) * (2 / math.sqrt(math.pi)))
 
 
-def normal_cdf(z: Column) -> Column:
-    return (1 + erf(z / math.sqrt(2))) / 2
+def normal_cdf(z: Column, scaled: Column | None = None) -> Column:
+    """scaled: z over the root of 2 as a column of its own, so that it is computed once."""
+    return (1 + erf(z / math.sqrt(2) if scaled is None else scaled)) / 2
 
 
 def normal_tail(z: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.scalars import four_digits, known
+
 from . import ranks
 from .significance import kendall, pairs, wilcoxon
 
@@ -68,9 +70,9 @@ def calibration_rank(accuracy: DataFrame, calibration: DataFrame) -> DataFrame:
 def optimism(records: DataFrame, intervals, protocol: str = "matched_hpo", unit: str = "unit") -> DataFrame:
     """(model, task_type, n, mean_optimism_gap, lo, hi) of the protocol's records: by task, and over mixed units (task_type null), with intervals of the mean over cells.
 
-    The gap is the record's own, or else inner score less test score. intervals: what resample.mean_interval is, with item.
+    The gap is the record's own; a record without one is left out. intervals: what resample.mean_interval is, with item.
     """
-    gap = records.where(F.col("protocol") == protocol).withColumn("gap", F.coalesce("optimism_gap", F.col("inner_score") - F.col("test_score"))).where("gap is not null")
+    gap = records.where(F.col("protocol") == protocol).withColumn("gap", known(F.col("optimism_gap"))).where("gap is not null")
     gap = gap.select("model", F.coalesce("task_type", F.lit("unknown")).alias("task_type"), "gap", F.col(unit).alias("unit"))
     parts = []
     for keys in (["model", "task_type"], ["model"]):
@@ -166,9 +168,24 @@ def scatter_rows(told: DataFrame) -> DataFrame:
     return told.select("model", "acc", "ece", "on_front", (~F.col("tuned")).alias("pretrained"), F.coalesce("dominated_by_tuned", F.lit(False)).alias("dominated"), line.alias("line_place")).orderBy(F.desc("acc"), "model")
 
 
-def survival_table(claims: DataFrame) -> DataFrame:
-    """Claims with a verdict, by id."""
-    return claims.where("survives is not null").orderBy("id")
+def claims_table(claims: DataFrame) -> DataFrame:
+    """Claims with a verdict as a table of text, by id: deltas and ends to four places, probabilities to four digits."""
+    place = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    told = claims.where("survives is not null").orderBy("id")
+    return told.select(F.col("id").alias("claim_id"), F.col("a").alias("A"), F.col("b").alias("B"), F.col("n_datasets").cast("string").alias("n_datasets"), place("mean_delta").alias("mean_delta"), four_digits(F.col("wilcoxon_p_onesided")).alias("wilcoxon_p_onesided"), F.coalesce(four_digits(F.col("holm_p")), F.lit("nan")).alias("holm_p"), place("ci_lo").alias("ci_lo"), place("ci_hi").alias("ci_hi"), F.initcap(F.col("survives").cast("string")).alias("survives"))
+
+
+def checklist_table(told: DataFrame, source: str) -> DataFrame:
+    """(place, reporting_standard_item, checklist): the checklist's items, the counts of claims and of flagged ones, their source, and each flagged claim with what it lacks; told is what reporting() gives."""
+    spark = told.sparkSession
+    items = spark.createDataFrame([(0, k, item, "required") for k, item in enumerate(CHECKLIST)], "part int, at long, item string, checklist string")
+    n = told.agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("f"))
+    line = lambda item, value: F.struct(F.lit(item).alias("item"), value.cast("string").alias("checklist"))
+    lines = F.array(line("n_claims_audited", F.col("n")), line("n_flagged_by_standard", F.col("f")), line("source", F.lit(source)))
+    counts = n.select(F.posexplode(lines).alias("at", "l")).select(F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "l.item", "l.checklist")
+    flagged = told.where("flagged").select(F.lit(2).alias("part"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")).cast("long").alias("at"), F.lit("flagged").alias("item"), F.to_json(F.struct("id", "missing")).alias("checklist"))
+    place = (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("part", "at")) - 1).alias("place")
+    return items.unionByName(counts).unionByName(flagged).select(place, F.col("item").alias("reporting_standard_item"), "checklist")
 
 
 def gap_table(gaps: DataFrame, units: dict[str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ def missing(grid: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def first_missing(grid: DataFrame, done: DataFrame, most: int = 20) -> DataFrame:
-    """The first cells that are missing, for a message."""
+    """The first cells that are missing, in order, for a message."""
     return missing(grid, done).orderBy(*CELL).limit(most)
 
 

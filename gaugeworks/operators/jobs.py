@@ -235,6 +235,7 @@ def execute(spark: SparkSession, cells: DataFrame, work: Callable[[dict], dict],
     Each cell runs in a child process of its task: native code is stopped at the limit too (error:Timeout), and a cell that is killed, by the kernel for its memory or by itself, is error:Killed with its exit code, and the rest go on. A cell's error is its
     status, error:Type. work gets all columns of cells in a dictionary and returns one with or without a status; it must not use Spark. Each cell is one row of a task, so that cells are spread like rows.
     """
+    session.ship(spark)
     names = ["unit", "dataset", "protocol", "model", "seed"]
     every = cells.columns
 

@@ -129,20 +129,20 @@ def multiclass(p: DataFrame, keys: list[str], classes: int | str) -> DataFrame:
     return out.withColumn("auc", F.when(F.col("seen") == F.col("__of"), F.col("auc"))).select(*keys, "n", "auc", "acc", "log_loss", "brier", "pr_auc", "ece")
 
 
-def crps(z: Column, sigma: Column) -> Column:
-    """Continuous ranked probability score of a normal forecast in units of z = (y - mu) / sigma, sigma at least 1e-9; null without sigma. z: a column."""
+def crps(z: Column, sigma: Column, scaled: Column | None = None) -> Column:
+    """Continuous ranked probability score of a normal forecast in units of z = (y - mu) / sigma, sigma at least 1e-9; null without sigma. z, and scaled, z over the root of 2: columns."""
     s = F.greatest(sigma, F.lit(1e-9))
-    return F.when(sigma.isNotNull(), s * (z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi)))
+    return F.when(sigma.isNotNull(), s * (z * (2 * normal_cdf(z, scaled) - 1) + 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi)))
 
 
 def regression(p: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, rmse, mae, r2, crps_gaussian, has_predictive_sigma) of predictions (y, pred, sigma)."""
     y, m = F.col("y"), F.col("pred")
     # z in a column of its own, and scaled for the error function there, so that neither is computed for each term
-    p = p.select(*keys, "y", "pred", "sigma", ((y - m) / F.greatest(F.col("sigma"), F.lit(1e-9))).alias("__z"))
+    p = p.select(*keys, "y", "pred", "sigma", ((y - m) / F.greatest(F.col("sigma"), F.lit(1e-9))).alias("__z")).withColumn("__h", F.col("__z") / math.sqrt(2))
     return p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((y - m) * (y - m))).alias("rmse"), F.avg(F.abs(y - m)).alias("mae"),
-        (1 - F.sum((y - m) * (y - m)) / (F.var_pop(y) * F.count(y) + 1e-12)).alias("r2"), F.avg(crps(F.col("__z"), F.col("sigma"))).alias("crps_gaussian"), (F.count("sigma") > 0).alias("has_predictive_sigma"),
+        (1 - F.sum((y - m) * (y - m)) / (F.var_pop(y) * F.count(y) + 1e-12)).alias("r2"), F.avg(crps(F.col("__z"), F.col("sigma"), F.col("__h"))).alias("crps_gaussian"), (F.count("sigma") > 0).alias("has_predictive_sigma"),
     )
 
 

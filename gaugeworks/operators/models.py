@@ -18,6 +18,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks import session
+
 from . import grid, preprocess, splits
 
 
@@ -114,7 +116,9 @@ def predict(s: Split, model: str, protocol: str = "cv_standard", seed: int = 0,
                 for p, values in space(estimator):
                     search = search.addGrid(p, values)
                 scorer = RegressionEvaluator(labelCol="y", metricName="rmse") if s.task_type == "regression" else BinaryClassificationEvaluator(labelCol="y") if s.task_type == "binclass" else MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss")
-                fitted = CrossValidator(estimator=estimator, estimatorParamMaps=search.build(), evaluator=scorer, numFolds=5, seed=seed).fit(train)
+                stratum = F.lit(0) if s.task_type == "regression" else F.col("y")
+                train = splits.folds(train.withColumn("__y", stratum), "__y", "row", seed).drop("__y")
+                fitted = CrossValidator(estimator=estimator, estimatorParamMaps=search.build(), evaluator=scorer, numFolds=5, foldCol="inner_fold").fit(train)
                 best = max(fitted.avgMetrics) if scorer.isLargerBetter() else -min(fitted.avgMetrics)
                 out |= {"inner_score": best, "notes": [f"searched {len(fitted.avgMetrics)} settings"]}
                 fitted = fitted.bestModel
@@ -123,8 +127,7 @@ def predict(s: Split, model: str, protocol: str = "cv_standard", seed: int = 0,
             told = fitted.transform(rows.where("fold = 'test'"))
             proba = vector_to_array("probability") if "probability" in told.columns else F.lit(None).cast("array<double>")
             columns = told.select("row", "y", F.col("prediction").alias("pred"), proba.alias("proba"))
-            # one small table, so that rows can be let go
-            out["predictions"] = spark.createDataFrame(columns.toPandas(), columns.schema)
+            out["predictions"] = session.stored(columns, "predictions")  # a table, so that rows can be let go
         finally:
             rows.unpersist()
         return out

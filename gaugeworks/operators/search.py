@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks import session
+
 
 @dataclass(frozen=True)
 class Range:
@@ -157,6 +159,7 @@ def proposed(cells: DataFrame, trials: DataFrame | None, spaces: dict[str, Space
     """
     import pandas as pd
 
+    session.ship(cells.sparkSession)
     none = F.lit(None).cast("string")
     rows = cells.select("cell", "model", "seed", none.alias("params"), F.lit(None).cast("int").alias("trial"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("error"))
     if trials is not None:

@@ -118,7 +118,7 @@ def claims_of(block: DataFrame) -> DataFrame:
     """(id, a, b): systems in order of mean score, each earlier one claimed to beat each later one."""
     means = block.groupBy("model").agg(F.avg("score").alias("s")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "model")))
     a, b = means.select(F.col("model").alias("a"), F.col("r").alias("ra")), means.select(F.col("model").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, F.col("ra") < F.col("rb")).select(F.concat("a", F.lit(">"), "b").alias("id"), "a", "b")
+    return a.join(b, F.col("ra") < F.col("rb")).select(F.concat("a", F.lit("_beats_"), "b").alias("id"), "a", "b")
 
 
 def survival(claims: DataFrame, grid: DataFrame, block: DataFrame, intervals, alpha: float = 0.05, least: int = 3) -> DataFrame:

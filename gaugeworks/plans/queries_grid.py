@@ -188,7 +188,7 @@ def capability_skip(spark, sf_dir):
 
 
 _GAPS = f"""c AS ({C}), r0 AS (SELECT model, CASE WHEN seed % 2 = 0 THEN 'binclass' ELSE 'regression' END AS task_type, {_UNIT} AS unit, min(row_id) AS i FROM c WHERE status = 'ok' AND protocol = 'hpo' GROUP BY ALL),
-r AS (SELECT model, task_type, unit AS dataset, CASE WHEN i % 5 = 0 THEN CAST(i % 10 AS DOUBLE) / 100 ELSE CAST(i % 100 AS DOUBLE) / 100 - CAST(i % 37 AS DOUBLE) / 50 END AS v FROM r0)"""
+r AS (SELECT model, task_type, unit AS dataset, CAST(i % 100 AS DOUBLE) / 100 - CAST(i % 37 AS DOUBLE) / 50 AS v FROM r0 WHERE i % 5 <> 0)"""
 
 
 @query(f"""WITH {_GAPS}, {boot_sql('SELECT model, task_type, dataset, v FROM r', 'model, task_type', 'optimism', 'ga')}, {boot_sql('SELECT model, dataset, v FROM r', 'model', 'optimism', 'gb')}
@@ -197,7 +197,7 @@ UNION ALL SELECT model, NULL, n, round(mean, 9), round(lo, 9), round(hi, 9) FROM
 def optimism_gap(spark, sf_dir):
     c = cells(spark, sf_dir).where("status = 'ok'").groupBy("model", "protocol", F.when(F.col("seed") % 2 == 0, "binclass").otherwise("regression").alias("task_type"), unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")).alias("unit")).agg(F.min("row_id").alias("i"))
     i = F.col("i")
-    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 == 0, (i % 10).cast("double") / 100).alias("optimism_gap"), ((i % 100).cast("double") / 100).alias("inner_score"), ((i % 37).cast("double") / 50).alias("test_score")), "records")
+    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 != 0, (i % 100).cast("double") / 100 - (i % 37).cast("double") / 50).alias("optimism_gap")), "records")  # every fifth record lacks a gap
     gaps = charts.optimism(c, lambda d, keys, v, item: resample.mean_interval(d, keys, v, item, b=B, seed=SEED, stage="optimism"), protocol="hpo")
     return gaps.select("model", "task_type", "n", *[F.round(k, 9).alias(k) for k in ("mean_optimism_gap", "lo", "hi")])
 
@@ -209,7 +209,7 @@ def gap_table(spark, sf_dir):
     """One system's records don't say their task."""
     i = F.col("i")
     c = cells(spark, sf_dir).where("status = 'ok'").groupBy("model", "protocol", F.when(F.col("model") != "m2", F.when(F.col("seed") % 2 == 0, "binclass").otherwise("regression")).alias("task_type"), unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed")).alias("unit")).agg(F.min("row_id").alias("i"))
-    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 == 0, (i % 10).cast("double") / 100).alias("optimism_gap"), ((i % 100).cast("double") / 100).alias("inner_score"), ((i % 37).cast("double") / 50).alias("test_score")), "records")
+    c = stored(c.select("model", "protocol", "task_type", "unit", F.when(i % 5 != 0, (i % 100).cast("double") / 100 - (i % 37).cast("double") / 50).alias("optimism_gap")), "records")  # every fifth record lacks a gap
     mean_only = lambda d, keys, v, item: d.groupBy(*keys).agg(F.avg(v).alias("mean"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
     rows = charts.gap_table(charts.optimism(c, mean_only, protocol="hpo"), {"classification": "ROC-AUC", "regression": "negative RMSE on the standardised target"})
     return rows.select("model", "task_type", "unit", "n", F.round("mean_optimism_gap", 9).alias("mean_optimism_gap"))
@@ -223,6 +223,18 @@ def reporting_standard(spark, sf_dir):
     return charts.reporting(c).withColumn("missing", F.array_join("missing", ","))
 
 
+@query("""WITH c AS (SELECT s_suppkey AS id, list_filter([CASE WHEN s_suppkey % 2 > 0 THEN 'paired_significance_test' END, CASE WHEN s_suppkey % 3 > 0 THEN 'confidence_interval' END, CASE WHEN s_suppkey % 5 > 0 THEN 'proper_scoring_or_calibration' END], lambda x: x IS NOT NULL) AS m FROM supplier),
+f AS (SELECT id, concat('{"id":', id, ',"missing":["', array_to_string(m, '","'), '"]}') AS j FROM c WHERE len(m) > 0),
+r AS (SELECT 0 AS part, i - 1 AS pos, ['paired_significance_test', 'confidence_interval', 'proper_scoring_or_calibration', 'calibrated_outputs'][i] AS item, 'required' AS checklist FROM range(1, 5) t(i)
+  UNION ALL SELECT 1, 0, 'n_claims_audited', CAST(count(*) AS VARCHAR) FROM c UNION ALL SELECT 1, 1, 'n_flagged_by_standard', CAST(count(*) AS VARCHAR) FROM f UNION ALL SELECT 1, 2, 'source', 'editorial_audited_claims' UNION ALL SELECT 2, id, 'flagged', j FROM f)
+SELECT CAST(row_number() OVER (ORDER BY part, pos) - 1 AS INT) AS place, item AS reporting_standard_item, checklist FROM r""")
+def checklist_table(spark, sf_dir):
+    """Table 3: the checklist, its counts and each flagged claim."""
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(k.alias("id"), (k % 2 == 0).alias("paired_significance_test"), (k % 3 == 0).alias("confidence_interval"), (k % 5 == 0).alias("proper_scoring_or_calibration"), F.lit(True).alias("calibrated_outputs"))
+    return charts.checklist_table(charts.reporting(c), "editorial_audited_claims")
+
+
 @query(f"WITH c AS ({C}) SELECT {_FAM} AS family, min(dataset) AS first_dataset, count(DISTINCT {_UNIT}) AS n_units FROM c GROUP BY {_FAM}")
 def unit_tokens(spark, sf_dir):
     return cells(spark, sf_dir).groupBy(family(F.col("dataset")).alias("family")).agg(F.min("dataset").alias("first_dataset"), F.count_distinct(unit(F.col("dataset"), F.col("protocol"), F.col("model"), F.col("seed"))).alias("n_units"))

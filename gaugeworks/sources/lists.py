@@ -121,9 +121,9 @@ def config(spark: SparkSession, path: str) -> dict:
 
 
 def members(spark: SparkSession, config: dict, key: str = "datasets") -> DataFrame | None:
-    """(place, member) of a list in a configuration; None if it is empty or lacks."""
+    """(place, member) of a list in a configuration, names or maps with a task_id, as a frozen suite has under `tasks`; None if it is empty or lacks."""
     found = config.get(key) or []
-    return spark.createDataFrame([(k, str(m)) for k, m in enumerate(found)], "place long, member string") if found else None
+    return spark.createDataFrame([(k, str(m["task_id"] if isinstance(m, dict) else m)) for k, m in enumerate(found)], "place long, member string") if found else None
 
 
 def write_subset(spark: SparkSession, path: str, names: list[str], head: dict, comment: list[str] = ()) -> None:

@@ -120,6 +120,7 @@ def test_yaml(spark, tmp_path):
     assert lists.config(spark, f"file://{tmp_path}/sub.yaml") == {"family": "core_twenty", "emit_as": "core", "k": 2, "datasets": ["a", "b"]}
     lists.write_snapshot(spark, f"file://{tmp_path}/snap.yaml", "suite", "2024-01-01", "0.1", 3, [(5, 50, "x"), (6, 60, "y")])
     snap = lists.config(spark, f"file://{tmp_path}/snap.yaml")
+    assert [r["member"] for r in lists.members(spark, snap, "tasks").collect()] == ["5", "6"]
     assert snap["n_tasks_in_suite"] == 3 and snap["n_tasks_after_core_dedup"] == 2 and [t["task_id"] for t in snap["tasks"]] == [5, 6]
 
 
