@@ -137,3 +137,30 @@ def test_a_cluster_needs_a_shared_folder(spark):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.shared_dir(of(master))
     assert session.shared_dir(spark) == session.shared_dir(spark) and session.stored(spark.range(3)).count() == 3
+
+
+def test_one_array_file_is_read_by_several_tasks(spark, tmp_path):
+    import numpy as np
+
+    from gaugeworks.sources import arrays
+
+    folder = tmp_path / "toy:one"
+    folder.mkdir()
+    x, y = np.arange(700.0).reshape(100, 7), np.array(["a", "bé"] * 50)
+    np.save(folder / "N_train.npy", x)
+    np.save(folder / "N_val.npy", np.asfortranarray(x))
+    np.save(folder / "C_train.npy", y.reshape(-1, 1))
+    np.save(folder / "y_train.npy", np.arange(100) % 3)
+    np.save(folder / "y_val.npy", y)
+    np.save(folder / "N_test.npy", x[:0])
+    parts = arrays.read(spark, f"file://{tmp_path}", rows=30)
+    assert parts.rdd.getNumPartitions() == 4 + 1 + 4 + 4 + 4
+    rows, _ = records.members(spark, str(tmp_path), rows_a_task=30)
+    got = {(r["fold"], r["row"]): r for r in rows.collect()}
+    assert len(got) == 200 and got["train", 99]["num"] == x[99].tolist() == got["val", 99]["num"]
+    assert got["train", 1]["cat"] == ["bé"] and got["train", 5]["y"] == 2 and got["train", 5]["label"] == "2" and got["val", 3]["label"] == "bé" and got["val", 3]["y"] is None
+    (tmp_path / "none").mkdir()
+    assert arrays.read(spark, f"file://{tmp_path}/none").count() == 0
+    np.save(folder / "C_val.npy", np.array([{}], dtype=object), allow_pickle=True)
+    with pytest.raises(Exception, match="Python objects"):
+        arrays.read(spark, str(tmp_path)).count()
