@@ -1,41 +1,24 @@
-"""What several operators share: shared folders, Arrow batches, hashing, connected components."""
+"""What several operators share, besides stored tables: Arrow batches, hashing, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import shared_dir
+from gaugeworks.session import dropped as drop_stored
+from gaugeworks.session import shared_dir, ship
+from gaugeworks.session import stored_at as stored
+
+__all__ = ["batches", "components", "drop_stored", "free", "shared_dir", "ship", "stored"]
 
 #: Rows in one Arrow batch at most: texts can be long, and a worker holds a batch at a time.
 BATCH_ROWS = 512
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_gaugeworks_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="gaugeworks-")  # on the driver, which serves it as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(name := f"{folder}/{top.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(name)
-    context._gaugeworks_shipped = True
-
-
 def batches(spark: SparkSession) -> None:
     """Makes a session ready for this package's Arrow functions: workers find the package, and batches
     are small; a smaller setting of the session's stays."""
@@ -46,21 +29,6 @@ def batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path; later reads survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_stored(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that stored() wrote and that nothing will read again."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of plans that are no longer referenced."""
     import gc
