@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import family, unit
-from gaugeworks.operators import charts, gate, grid, jobs, resample
+from gaugeworks.operators import charts, gate, grid, resample
 from gaugeworks.session import stored, table
 
 from .derived import CELLS, ENV, derived, duck

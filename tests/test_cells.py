@@ -79,7 +79,7 @@ def got(spark, loaded):
     asked = [(d, p, m, 0) for d in datasets for p in ("cv_standard", "matched_hpo") for m in cells.SYSTEMS]
     asked += [("core:toy_cat", "pareto_hpo", "boosted_depth", 0), ("core:toy_reg", "pareto_hpo", "boosted_depth", 0), ("core:toy_reg", "cv_standard", "tabicl", 0), ("core:toy_cat", "cv_standard", "tabicl", 0)]
     asked += [("core:toy_bad", "cv_standard", "boosted_depth", 0), ("core:nowhere", "cv_standard", "boosted_depth", 0), ("core:toy_over", "cv_standard", "boosted_leaves", 1)]
-    out = cells.run(spark.createDataFrame(asked, "dataset string, protocol string, model string, seed int"), *loaded, trials=6, batch=3, search_rounds=12, full_rounds=40)
+    out = cells.run(spark.createDataFrame(asked, "dataset string, protocol string, model string, seed int"), *loaded, trials=4, batch=2, search_rounds=6, full_rounds=40)
     return {(r["dataset"], r["protocol"], r["model"]): r.asDict(recursive=True) for r in out.collect()}
 
 
