@@ -4,7 +4,7 @@ Inner products become distances: a vector gets one more component that lifts it
 scaled to that length, a zero; then a larger inner product is a smaller distance. A block keeps `projections` sorted arrays,
 one for each random direction. A query puts a window around its own projection in every array; vectors inside
 collide once for each: they are counted over the rows' places in the sorted arrays, for all arrays at once. Virtual rehashing widens all windows by one factor after
-another, from a width a little below what the block's query before needed, and vectors whose collisions
+another, from a width just below what the block's query before needed, and vectors whose collisions
 reach `share` of the arrays are verified by their inner product in double precision. A block is done when `verified` of its rows, and `least` rows
 for each neighbour asked for at least, have been verified. That target is a share, never a cap: vectors that reach the threshold in the same step are all verified.
 
@@ -50,7 +50,7 @@ class Block:
             return np.arange(n)
         centre = (np.append(q, 0.0) / np.sqrt(q @ q)) @ self.directions
         need = int(np.ceil(share * m))
-        width = self.width * 0.92
+        width = self.width * 0.97
         while True:
             low = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre - width, strict=True)])
             high = np.array([s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + width, strict=True)])
@@ -75,7 +75,7 @@ class Block:
         return self.ids[at][first], score[first]
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 192, share: float = 0.8, verified: float = 0.15, least: int = 8, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", projections: int = 176, share: float = 0.8, verified: float = 0.15, least: int = 8, data_block: int = 8192, query_block: int = 1024, seed: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row for which is_query (over id) holds."""
     common.batches(rows.sparkSession)
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))

@@ -240,6 +240,6 @@ def test_nearest_as_shipped(spark):
         score[k] = -np.inf
         hits += len(got[ids[k]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
     assert len(got) == len(asked) and hits / (20 * len(asked)) >= 0.94
-    block = ann.Block(ids, x, 192, 5)
+    block = ann.Block(ids, x, 176, 5)
     seen = [len(best(block, x[k], 0.8, max(160, int(np.ceil(0.15 * len(ids)))))) / len(ids) for k in asked]
     assert np.mean(seen) < 0.2
