@@ -129,3 +129,15 @@ def test_four_significant_digits(spark):
     values = [0.0, 1.0, 0.05, 0.012345, 1e-4, 9.9996e-5, 0.99996, 1234.6, 12346.0, 9999.6, 1e-9, 3.14159e-12, -0.5, 100.0, 1e10, 0.1 + 0.2]
     got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(four_digits(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in got] == [f"{v:.4g}" for v in values]
+
+
+def test_gaps_of_all_records(spark, tmp_path):
+    """Every cell that ended well under the protocol counts, whatever its number."""
+    from gaugeworks.plans import queries_grid
+
+    rows = [(k, k // 7, "F" if k % 4 else "P", "1-URGENT") for k in range(1, 800)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    units = {(k % 7, k // 7 % 3, k // 7 % 20, k % 5) for k, _, status, _ in rows if status == "F" and k % 3}
+    gaps = queries_grid.optimism_gap(spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in gaps if r["task_type"] is None) == sum(r["n"] for r in gaps if r["task_type"] is not None) == len(units)
+    assert sum(r["n"] for r in queries_grid.gap_table(spark, str(tmp_path)).collect()) == len(units)
