@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.scalars import bin_of
 from gaugeworks.operators import gate, grid, jobs, metrics, prefix, splits
 from gaugeworks.sources import records
 from gaugeworks.streaming import manifest
@@ -141,3 +143,23 @@ def test_gaps_of_all_records(spark, tmp_path):
     gaps = queries_grid.optimism_gap(spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in gaps if r["task_type"] is None) == sum(r["n"] for r in gaps if r["task_type"] is not None) == len(units)
     assert sum(r["n"] for r in queries_grid.gap_table(spark, str(tmp_path)).collect()) == len(units)
+
+
+def test_bins_are_no_condition_on_rows(spark):
+    """A curve's bin isn't written out in a filter below the join that makes the predictions; rows without one are left out."""
+    rows = [("a", k, k % 2) for k in range(1, 100)] + [("b", None, 1)] * 6
+    made = spark.createDataFrame(rows, "model string, k int, y int").join(spark.range(100).select(F.col("id").alias("k")), "k", "left").select("model", "y", (0.02 + F.col("k") / 110.0).alias("score"))
+    curve = metrics.reliability(made, ["model"])
+    assert not [x for x in curve._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "CASE" in x]
+    want = {}
+    for _, k, y in rows[:99]:
+        s = 0.02 + k / 110.0
+        c = max(s, 1 - s)
+        at = next(b for b in range(12) if c <= (1.0 if b == 11 else (b + 1) * (1.0 / 12)))
+        n, conf, right = want.get(at, (0, 0.0, 0))
+        want[at] = n + 1, conf + c, right + ((s > 0.5) == (y == 1))
+    assert {r["bin"]: (r["n"], pytest.approx(r["mean_conf"]), pytest.approx(r["mean_acc"])) for r in curve.collect()} == {b: (n, c / n, a / n) for b, (n, c, a) in want.items() if n >= 5}
+    edges = [-1.0, -0.0, 0.0, 1e-300, *[k * (1.0 / 15) for k in range(1, 16)], np.nextafter(5 * (1.0 / 15), 2), 1.0, np.nextafter(1.0, 2), math.nan, math.inf, None]
+    own = [k * (1.0 / 15) for k in range(15)] + [1.0]
+    place = lambda v: None if v is None or math.isnan(v) or v <= 0 or v > 1 else sum(e < v for e in own) - 1
+    assert [r["b"] for r in spark.createDataFrame([(k, v) for k, v in enumerate(map(lambda v: None if v is None else float(v), edges))], "k int, v double").orderBy("k").select(bin_of(F.col("v"), 15).alias("b")).collect()] == [place(v) for v in edges]
