@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 
@@ -73,6 +74,26 @@ def test_shipped_folds_stand(spark, root):
     assert {r["fold"]: r["count"] for r in got} == {"train": 192, "val": 48, "test": 60}
 
 
+def test_splits_are_packed_in_bounded_chunks(loaded, monkeypatch):
+    """No row, and no part of a task's input, is a whole split; its rows come back in the seed's order, whatever order the chunks come in."""
+    rows = loaded[0].where("dataset = 'core:toy_cat' and seed = 1")
+    want = sorted(rows.collect(), key=lambda r: (r["draw"], r["row"]))
+    monkeypatch.setattr(cells, "CHUNK", 40)
+    blobs = sorted(((r["chunk"], bytes(r["data"])) for r in cells.packed(rows).collect()), reverse=True)
+    assert len(blobs) == 8 and max(len(np.load(io.BytesIO(b))["y"]) for _, b in blobs) < 80
+    for folds in (records.FOLDS, ["train"]):
+        own = [r for r in want if r["fold"] in folds]
+        d = cells._unpacked(blobs, folds)
+        assert d["row"].tolist() == [r["row"] for r in own] and d["y"].tolist() == [r["y"] for r in own] and d["num"].tolist() == [r["num"] for r in own]
+        assert [records.FOLDS[f] for f in d["fold"]] == [r["fold"] for r in own]
+        names = sorted({c for r in want for c in r["cat"]})
+        assert [[names[c] for c in r] for r in d["cat"]] == [r["cat"] for r in own]
+        bins = boosting.binned(d["num"], d["cat"])
+        plain = boosting.binned(d["num"], np.array([r["cat"] for r in own]))
+        codes = bins.codes(d["num"], d["cat"])
+        assert codes.dtype == np.uint8 and (codes == plain.codes(d["num"], np.array([r["cat"] for r in own]))).all()
+
+
 @pytest.fixture(scope="module")
 def got(spark, loaded):
     datasets = ["core:toy_cls", "core:toy_cat", "core:toy_reg"]
