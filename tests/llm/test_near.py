@@ -243,3 +243,31 @@ def test_nearest_as_shipped(spark):
     block = ann.Block(ids, x, 176, 5)
     seen = [len(best(block, x[k], 0.8, max(160, int(np.ceil(0.15 * len(ids)))))) / len(ids) for k in asked]
     assert np.mean(seen) < 0.2
+
+
+def test_collisions_by_cells(monkeypatch):
+    """Small blocks count exactly as windows over projections do; in larger ones a query counts few rows, of a byte each, and finds what it is to."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(255, 16))
+    x[40:60] = x[7]
+    block = ann.Block(np.arange(255), x, 64, 5)
+    p = np.concatenate([x, np.sqrt(np.maximum(0, block.longest**2 - (x * x).sum(1)))[:, None]], 1) / block.longest @ block.directions
+    for q in rng.normal(size=(20, 16)):
+        found = block.candidates(q, 0.8, 40)
+        apart = np.abs(p - np.append(q, 0) / np.sqrt(q @ q) @ block.directions)
+        assert found.tolist() == np.flatnonzero((apart <= block.width).sum(1) >= 52).tolist() and len(found) >= 40
+    x = rng.normal(size=(8000, 64))
+    block = ann.Block(np.arange(8000), x, 176, 5)
+    assert block.cell.dtype == np.uint8 and block.cell.shape == (176, 8000)
+    counted = []
+    count = ann.Block.collisions
+    monkeypatch.setattr(ann.Block, "collisions", lambda self, low, span, rows: counted.append(rows) or count(self, low, span, rows))
+    block.candidates(x[0], 0.8, 1200)
+    counted.clear()
+    hits = 0
+    for k in range(1, 101):
+        found = block.candidates(x[k], 0.8, 1200)
+        assert len(found) >= 1200
+        hits += len(set(found) & set(np.argsort(-(x @ x[k]))[:20]))
+    assert sum(counted) < 2.2 * 100 * 8000
+    assert hits / 2000 >= 0.9
