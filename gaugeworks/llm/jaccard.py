@@ -339,9 +339,12 @@ def _links(sets: DataFrame, lists: DataFrame, rounds: int, hot: int) -> tuple[Da
                 drawn = now.join(long, "sig", "left").join(sets.select("node", "sketch"), "node").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
                 drawn = drawn.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
                 drawn = drawn.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+                # parts bound a task's work: split further for skew, by the square of a part's size, these joins would be thousands of tasks, all kept by the driver
+                drawn = drawn.repartition("sig", "p", "q")
                 a, b = (drawn.select("sig", "p", "q", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r"), F.col("sketch").alias(f"{x}s")) for x in "ab")
                 pairs = a.join(b, (a["sig"] == b["sig"]) & (a["p"] == b["p"]) & (a["q"] == b["q"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits & may_link("a", "b")).select("a", "b").distinct()
                 pairs, _ = common.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+                common.free(spark)
                 found, _ = common.stored(_verified(pairs, sets), "found")
                 if found.limit(1).count():
                     links = links.unionByName(found)

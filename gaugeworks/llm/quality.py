@@ -78,8 +78,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", id: str
     data = []
     for r in got:
         n = len(r["c"]) // 6
-        k, c = np.frombuffer(r["c"], "<u2", n), np.frombuffer(r["c"], "<f4", n, 2 * n)
-        data.append((k.astype(np.int64), (c / max(1.0, c.sum())).astype(np.float32), int(r["y"] > 0)))
+        # views of what was collected: no second copy on the driver
+        data.append((np.frombuffer(r["c"], "<u2", n), np.frombuffer(r["c"], "<f4", n, 2 * n), int(r["y"] > 0)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / size, 1 / size, (1 << BITS, size)).astype(np.float32)
     layer, bias = rng.uniform(-0.5, 0.5, (size, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -87,6 +87,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", id: str
     for _ in range(epochs):
         for at in rng.permutation(len(data)):
             k, c, y = data[at]
+            c = (c / max(1.0, c.sum())).astype(np.float32)
             step = rate * (1 - done / steps)
             done += 1
             own = vectors[k]

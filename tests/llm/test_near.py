@@ -95,6 +95,36 @@ def test_a_frame_that_many_texts_share_forms_few_pairs(spark, monkeypatch):
     assert before > 500 and after <= 3, longest
 
 
+def test_a_long_list_is_few_tasks(spark):
+    """Skew handling doesn't split the join of a long list with itself, by the square of its size: the driver keeps every task."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    frame, sets = draw(70), []
+    for _ in range(200):  # of the frame's sets, two at a time link
+        body = draw(30)
+        sets += [np.sort(np.concatenate([frame, body])), np.sort(np.concatenate([frame, body[1:], draw(1)]))]
+    rows = [(k, len(h), bytearray(h.tobytes()), jaccard.sketch(h)) for k, h in enumerate(sets)]
+    lists = [(1, k, 100, 0, 100) for k in range(400)] + [(2 + k // 2, k, 100, k // 2 * 2, 100) for k in range(0, 400, 40) for k in (k, k + 1)]
+    adaptive = "spark.sql.adaptive."
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.autoBroadcastJoinThreshold": "-1", f"{adaptive}coalescePartitions.enabled": "false", f"{adaptive}advisoryPartitionSizeInBytes": "1k", f"{adaptive}skewJoin.skewedPartitionThresholdInBytes": "1k", f"{adaptive}skewJoin.skewedPartitionFactor": "1.5"}
+    before, context = {k: spark.conf.get(k) for k in own}, spark.sparkContext
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("a long list", "")
+        _, roots = jaccard._links(spark.createDataFrame(rows, "node long, n long, tokens binary, sketch array<long>"), spark.createDataFrame(lists, "sig long, node long, n long, a long, an long"), 1, 2048)
+        got = {r["node"]: r["root"] for r in roots.collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("a long list") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [x.numTasks for s in stages if (x := tracker.getStageInfo(s))]
+    assert got == {k: k - 1 for k in range(1, 400, 2)}
+    assert len(tasks) > 10 and max(tasks) <= 100, sorted(tasks)[-5:]
+
+
 def test_jaccard_nulls_and_empty(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")]
     got = sorted(map(str, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
